@@ -37,3 +37,34 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def whole_groups(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """From batches sorted by ``keys``: tables of whole groups, and the rows at which their groups begin (and the end).
+
+    Only the group that may go on in the next batch is held back.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_pylist() for k in keys]
+        rows = list(zip(*columns, strict=True))
+        cut = len(rows)
+        while cut and rows[cut - 1] == rows[-1]:
+            cut -= 1
+        if held and tuple(held[-1].column(k)[-1].as_py() for k in keys) != rows[0]:
+            yield _begun(held, keys)
+            held = []
+        if cut:
+            yield _begun([*held, batch.slice(0, cut)], keys)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield _begun(held, keys)
+
+
+def _begun(batches_: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, list[int]]:
+    table_ = pa.Table.from_batches(batches_).combine_chunks()
+    rows = list(zip(*(table_.column(k).to_pylist() for k in keys), strict=True))
+    return table_, [i for i in range(len(rows)) if not i or rows[i] != rows[i - 1]] + [len(rows)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, chat, decontaminate, html, pii, quality, simhash, warc
+from skein.llm import bpe, chat, decontaminate, embeddings, html, pii, quality, simhash, warc
 from skein.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -61,10 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
+    "op5_embeddings": op5_embeddings,
     "op7_html": op7_html,
     "op8_chat": op8_chat,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
 }
 
-ORACLE: dict[str, str] = {"op8_chat": chat.ORACLE, "op10_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op5_embeddings": embeddings.ORACLE, "op8_chat": chat.ORACLE, "op10_warc": warc.ORACLE}
