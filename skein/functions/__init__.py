@@ -1 +1 @@
-"""functions"""
+"""Functions over text and arrays."""

@@ -60,6 +60,7 @@ def discard(*frames: DataFrame | None) -> None:
     for df in frames:
         path = getattr(df, "_skein_path", None)
         if path:
+            del df._skein_path
             spark = df.sparkSession
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

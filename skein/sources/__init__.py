@@ -1 +1 @@
-"""sources"""
+"""Readers and writers of graph files."""

@@ -1 +1 @@
-"""streaming"""
+"""Edge streams folded into sketches of fixed size."""
