@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, chat, decontaminate, embeddings, html, pii, quality, simhash, warc
+from skein.llm import bpe, chat, decontaminate, embeddings, html, lines, pii, quality, simhash, warc
 from skein.llm.common import table
 
 
@@ -40,6 +40,12 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    out = lines.dedup_lines(docs)
+    return out.select("doc_id", "n_lines", F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -66,10 +72,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op5_embeddings": op5_embeddings,
+    "op6_lines": op6_lines,
     "op7_html": op7_html,
     "op8_chat": op8_chat,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
 }
 
-ORACLE: dict[str, str] = {"op5_embeddings": embeddings.ORACLE, "op8_chat": chat.ORACLE, "op10_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op5_embeddings": embeddings.ORACLE, "op6_lines": lines.ORACLE, "op8_chat": chat.ORACLE, "op10_warc": warc.ORACLE}
