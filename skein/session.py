@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -64,3 +65,9 @@ def discard(*frames: DataFrame | None) -> None:
             spark = df.sparkSession
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans, which it does once the driver has dropped their objects."""
+    gc.collect()
+    spark._jvm.System.gc()
