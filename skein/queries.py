@@ -143,7 +143,7 @@ def market(spark: SparkSession, sf_dir: str) -> PropGraph:
         F.col("o_custkey").cast("long").alias("cust"), (-1 - F.col("l_suppkey")).cast("long").alias("supp"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
         F.col("l_quantity").cast("double").alias("quantity"), F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("line"),
     )
-    graph = PropGraph().load_edge_attributes(edges, "cust", "supp", ["flag", "status"], order_by=["okey", "line"])
+    graph = PropGraph().load_edge_attributes(edges, "cust", "supp", ["flag", "status"], order_by=["okey", "line", "quantity", "flag", "status"])
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_mktsegment").alias("kind"), F.col("c_nationkey").cast("long").alias("nation"))
     firms = table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).cast("long").alias("id"), F.lit("SUPPLIER").alias("kind"), F.col("s_nationkey").cast("long").alias("nation"))
     return graph.load_node_attributes(people.unionAll(firms), "id", ["kind"], order_by=["id"])
@@ -151,7 +151,7 @@ def market(spark: SparkSession, sf_dir: str) -> PropGraph:
 
 MARKET = """ranked AS (
   SELECT CAST(o_custkey AS BIGINT) AS src, CAST(-1 - l_suppkey AS BIGINT) AS dst, l_returnflag AS flag, l_linestatus AS status, CAST(l_quantity AS DOUBLE) AS quantity, l_orderkey AS okey, l_linenumber AS line,
-    row_number() OVER (PARTITION BY o_custkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS r
+    row_number() OVER (PARTITION BY o_custkey, l_suppkey ORDER BY l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE), l_returnflag, l_linestatus) AS r
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 e AS (SELECT src, dst, flag, status, quantity, okey, line FROM ranked WHERE r = 1),
 ends AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
@@ -486,14 +486,14 @@ def g_clusters_file(spark, d):
 
 # --- sketches and sequences
 
-_STREAM = "(SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS line, CAST(l_partkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) AS dst FROM lineitem)"
+_STREAM = "(SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS line, CAST(l_partkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) AS dst FROM lineitem)"
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     from skein.plans.ranking import dense_ids
 
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("long").alias("src"), F.col("l_suppkey").cast("long").alias("dst"))
-    return dense_ids(rows, "l_orderkey", "l_linenumber", name="line").select("line", "src", "dst")
+    return dense_ids(rows, "l_orderkey", "l_linenumber", "src", "dst", name="line").select("line", "src", "dst")
 
 
 @query(

@@ -45,8 +45,8 @@ def read_matrix_market_file(filepath: str, directed: bool = False, only_edges: b
     entries = lines.where(F.col("at") != head["at"]).select(F.split("line", " ").alias("f"))
     first = entries.select(F.size("f").alias("n")).limit(1).collect()
     weighted = bool(first) and first[0]["n"] > 2
-    columns = [F.get("f", F.lit(0)).cast("long").alias("src"), F.get("f", F.lit(1)).cast("long").alias("dst")]
-    rows = entries.select(*columns, *([F.get("f", F.lit(2)).cast("double").alias("weight")] if weighted else []))
+    columns = [F.get("f", F.lit(0)).try_cast("long").alias("src"), F.get("f", F.lit(1)).try_cast("long").alias("dst")]
+    rows = entries.select(*columns, *([F.get("f", F.lit(2)).try_cast("double").alias("weight")] if weighted else []))
     return _graph(rows, directed, weighted, only_edges)
 
 
@@ -54,7 +54,7 @@ def read_edge_list(path: str, weighted: bool = False) -> DataFrame:
     """(src, dst[, weight]) from two or three whole numbers a line, with any white space between; ``#`` starts a comment."""
     parts = _fields(path, "#").select(F.split("line", " ").alias("f"))
     names = ["src", "dst", "weight"][: 3 if weighted else 2]
-    return parts.select(*(F.get("f", F.lit(i)).cast("long").alias(c) for i, c in enumerate(names)))
+    return parts.select(*(F.get("f", F.lit(i)).try_cast("long").alias(c) for i, c in enumerate(names)))
 
 
 def read_tsv_file(filepath: str, directed: bool = False, weighted: bool = False, only_edges: bool = False):
@@ -110,7 +110,7 @@ def preprocess_edge_file(path: str, out: str | None = None, columns: int = 2, di
     if skip_lines:
         lines = _session().read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
         parts = lines.where(F.col("at") >= skip_lines).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("f"))
-        rows = parts.select(*(F.get("f", F.lit(i)).cast("long").alias(c) for i, c in enumerate(["src", "dst", "weight"][:columns])))
+        rows = parts.select(*(F.get("f", F.lit(i)).try_cast("long").alias(c) for i, c in enumerate(["src", "dst", "weight"][:columns])))
     graph = _graph(rows, directed, columns > 2, False)
     edges = graph._internal_edges()
     edges = edges if directed else edges.where("src < dst")
@@ -127,7 +127,7 @@ def write_edge_list(edges: DataFrame, path: str) -> None:
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """(id, cluster) from "vertex cluster" lines; lines with fewer than two fields are skipped, repeats are one."""
     lines = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("f")).where(F.size("f") >= 2)
-    return lines.select(F.get("f", F.lit(0)).cast("long").alias("id"), F.get("f", F.lit(1)).cast("long").alias("cluster")).where("id is not null and cluster is not null").distinct()
+    return lines.select(F.get("f", F.lit(0)).try_cast("long").alias("id"), F.get("f", F.lit(1)).try_cast("long").alias("cluster")).where("id is not null and cluster is not null").distinct()
 
 
 def write_clusters(clusters: DataFrame, path: str) -> None:

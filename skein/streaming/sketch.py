@@ -21,7 +21,7 @@ def read_stream(path: str) -> DataFrame:
     """(line, src, dst) of an edge file, lines numbered from 0."""
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     lines = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("f"), F.monotonically_increasing_id().alias("at")).where(F.size("f") >= 2)
-    numbered = dense_ids(lines.select("at", F.get("f", F.lit(0)).cast("long").alias("src"), F.get("f", F.lit(1)).cast("long").alias("dst")), "at", name="line")
+    numbered = dense_ids(lines.select("at", F.get("f", F.lit(0)).try_cast("long").alias("src"), F.get("f", F.lit(1)).try_cast("long").alias("dst")), "at", name="line")
     return numbered.select("line", "src", "dst")
 
 

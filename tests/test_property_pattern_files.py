@@ -77,7 +77,7 @@ def test_added_columns(spark):
     with pytest.raises(ValueError):
         PropGraph().load_node_attributes(spark.createDataFrame([(1, "x")], "v long, l string"), "v")
     with pytest.raises(TypeError):
-        g.add_node_properties(spark.createDataFrame([(1, [1])], "v long, l array<int>"), "v")
+        g.add_node_properties(spark.createDataFrame([(1, [1])], "v long, m array<int>"), "v")
 
 
 # --- patterns
