@@ -7,11 +7,14 @@
    is, neighbours of neighbours; a pair enters a list if it beats the list's last entry. Rounds go on until the lists gain
    next to nothing.
 4. Links are listed pairs with cosine >= threshold; their components come from distributed star rounds.
-5. A list whose last entry is still a link is saturated and can't hold all links of its class. Lists are enlarged to their
-   component: it is cut into blocks of about ``BLOCK`` classes and every two blocks of a component are compared exactly, each
-   pair of blocks in a group of its own; only link counts leave a block, never pairs.
-6. Audit: ``AUDIT`` classes are compared with all rows of their label in blocks, which gives the recall of the links. Below
-   ``TARGET`` more tables are added and steps 2 to 5 repeated, ``TRIES`` times at most; the recall is reported.
+5. A list whose last entry is still a link is saturated and can't hold all links of its class. Such classes are compared with
+   all classes of their label: in blocks of about ``BLOCK`` of one component, each with a centre and a radius, and a class of
+   another component is compared with a block exactly unless it is too far from the centre to link with anything in it. What
+   links so joins components.
+6. Counts: a component is cut into blocks of about ``BLOCK`` classes and every two blocks of a component are compared exactly,
+   each pair of blocks in a group of its own; only link counts leave a block, never pairs.
+7. Audit: ``AUDIT`` classes are compared with all rows of their label in blocks, which gives the recall of the links. Below
+   ``TARGET`` more tables are added and steps 2 to 6 repeated, ``TRIES`` times at most; the recall is reported.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and vectors with a null label, link with nothing.
 Vectors of different lengths never link. Copies count as links of each other. Repeated ids are rows of their own; rows with a
@@ -36,6 +39,7 @@ TABLES = 10
 WIDTH = 6
 NEIGHBOURS = 10
 BLOCK = 256
+CELL = 4096
 ROUNDS = 6
 AUDIT = 256
 TARGET = 0.95
@@ -173,6 +177,92 @@ def _descend(classes: DataFrame, seeds: DataFrame, size: int, rounds: int) -> Da
     return lists
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a matrix of links: the root row of every row and column that has a link, as (rows, columns, roots of both)."""
+    rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    near = near[np.ix_(rows, cols)]
+    up = rows.copy()
+    while len(rows):
+        down = np.where(near, up[:, None], np.iinfo(np.int64).max).min(0)
+        new = np.minimum(up, np.where(near, down[None], np.iinfo(np.int64).max).min(1))
+        if (new == up).all():
+            return rows, cols, np.concatenate([up, down])
+        up = new
+    return rows, cols, up
+
+
+def _bridges(classes: DataFrame, member: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links that join the component of an ``asked`` class (cls) to any other class of its label, exactly.
+
+    Of the links between a block and the classes that come near it only a spanning forest leaves the task.
+    """
+    home = classes.select("cls", "label", "dim", "unit").join(member.withColumnRenamed("cls", "_m"), F.col("cls") == F.col("_m"), "left")
+    home = materialize(home.select("cls", "label", "dim", "unit", F.coalesce("component", "cls").alias("component")), "home")
+    own = home.join(asked.select(F.col("cls").alias("_a")), F.col("cls") == F.col("_a"), "left_semi")
+    sizes = own.groupBy(F.col("component").alias("_o")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("cls", F.lit(11)), F.col("blocks")).cast("int").alias("block")
+    blocks = materialize(own.join(sizes, F.col("component") == F.col("_o")).select("component", block, "label", "dim", "cls", "unit"), "blocks")
+
+    def centre(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(it, ["component", "block"]):
+            first = rows.take(pa.array(starts[:-1])).select(["component", "block", "label", "dim"])
+            units, radii = [], []
+            for s, e in zip(starts, starts[1:], strict=False):
+                m = _matrix(rows.column("unit").slice(s, e - s))
+                c = m.mean(0)
+                c = c / n if (n := np.sqrt((c * c).sum())) > 1e-3 else m[0]
+                units.append(c.tobytes())
+                radii.append(float(np.arccos(np.clip(m @ c, -1, 1)).max()))
+            made = first.append_column("unit", pa.array(units, pa.binary())).append_column("radius", pa.array(radii, pa.float64()))
+            yield from made.to_batches()
+
+    keys = ["component", "block"]
+    made = blocks.repartition(*keys).sortWithinPartitions(*keys)
+    hubs = materialize(made.mapInArrow(centre, "component long, block int, label string, dim int, unit binary, radius double"), "hubs")
+    cells = home.groupBy(F.col("label").alias("_l"), F.col("dim").alias("_d")).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    cells = materialize(cells.join(hubs.select("label", "dim").distinct(), (F.col("_l") == F.col("label")) & (F.col("_d") == F.col("dim")), "left_semi"), "cells")
+    where = lambda d: d.join(cells, (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d")))
+    cell = F.pmod(F.xxhash64("cls", F.lit(13)), F.col("cells")).cast("int").alias("cell")
+    guests = where(home).select("label", "dim", cell, F.lit(-1).alias("block"), "component", "cls", "unit", F.lit(-1.0).alias("radius"))
+    hosts = where(hubs).select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "block", "component", F.lit(-1).cast("long").alias("cls"), "unit", "radius")
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def visit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(it, ["label", "dim", "cell"]):
+            block, radius = np.array(rows.column("block").to_pylist()), np.array(rows.column("radius").to_pylist())
+            ids, component = np.array(rows.column("cls").to_pylist(), np.int64), np.array(rows.column("component").to_pylist(), np.int64)
+            for s, e in zip(starts, starts[1:], strict=False):
+                m, host = _matrix(rows.column("unit").slice(s, e - s)), np.flatnonzero(block[s:e] >= 0)
+                guest = np.flatnonzero(block[s:e] < 0)
+                for k in range(0, len(host), BLOCK):
+                    at = host[k : k + BLOCK]
+                    close = np.arccos(np.clip(m[guest] @ m[at].T, -1, 1)) <= radius[s + at][None] + reach
+                    i, j = np.nonzero(close & (component[s + guest][:, None] != component[s + at][None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(component[s + at[j]]), pa.array(block[s + at[j]].astype(np.int32)), pa.array(ids[s + guest[i]])], ["component", "block", "cls"])
+
+    keys = ["label", "dim", "cell"]
+    visits = guests.unionAll(hosts).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(visit, "component long, block int, cls long")
+    visits = materialize(visits, "visits")
+    parts = visits.groupBy(F.col("component").alias("_c"), F.col("block").alias("_b")).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    at = lambda d: d.join(parts, (F.col("component") == F.col("_c")) & (F.col("block") == F.col("_b")))
+    came = at(visits).join(home.select(F.col("cls").alias("_h"), "unit"), F.col("cls") == F.col("_h"))
+    came = came.select("component", "block", F.pmod(F.xxhash64("cls", F.lit(17)), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("guest"), "cls", "unit")
+    stay = at(blocks).select("component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("guest"), "cls", "unit")
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(it, ["component", "block", "part"]):
+            guest, ids = np.array(rows.column("guest").to_pylist()), np.array(rows.column("cls").to_pylist(), np.int64)
+            for s, e in zip(starts, starts[1:], strict=False):
+                m, g = _matrix(rows.column("unit").slice(s, e - s)), guest[s:e]
+                host, own = ids[s:e][~g], ids[s:e][g]
+                near, cols, roots = _forest((m[~g] @ m[g].T) >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([host[near], own[cols]])), pa.array(host[roots])], ["u", "v"])
+
+    keys = ["component", "block", "part"]
+    found = came.unionAll(stay).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, v long")
+    return materialize(found.where("u <> v").distinct(), "bridges")
+
+
 def _count_links(classes: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
     """(cls, others): linked copies of other classes, exactly, by comparing every two blocks of a component."""
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -243,6 +333,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         lists = _descend(classes, seeds, NEIGHBOURS, ROUNDS)
         linked = materialize(_edges(lists).where(F.col("sim") >= threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
         member = materialize(star_components(linked).select(F.col("id").alias("cls"), "component"), "members")
+        full = lists.where(F.col("last") >= threshold).select(F.col("u").alias("cls"))
+        if not full.isEmpty():
+            linked = linked.unionAll(_bridges(classes, member, full, threshold))
+            member = materialize(star_components(linked).select(F.col("id").alias("cls"), "component"), "members")
         found = materialize(_count_links(classes, member, threshold), "counts")
         recall = _audit(classes, found, threshold, audit)
         if report is not None:

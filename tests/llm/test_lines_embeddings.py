@@ -130,6 +130,20 @@ def test_links_against_all_pairs(spark):
     assert sorted(map(key, map(tuple, got.collect()))) == sorted(map(key, slow_links(rows)))
 
 
+def test_adjacent_groups_that_fill_their_lists(spark):
+    """Two groups of 20 with inner cosine near 1 and 0.98 to 0.99 between them: every list of ten stays in its group."""
+    r = np.random.default_rng(7)
+    a, b = np.linalg.qr(r.standard_normal((64, 2)))[0].T
+    turn = np.arccos(0.9885)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(r.standard_normal((60, 64)))]
+    for c in (a, a * np.cos(turn) + b * np.sin(turn)):
+        rows += [(len(rows) + k, (c + 0.002 * r.standard_normal(64)).tolist(), 0) for k in range(20)]
+    want = slow_links(rows)
+    assert [n for _, n, *_ in want[60:]] == [39] * 40 and len({c for _, _, c, _ in want[60:]}) == 1
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_empty_and_lone(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert embeddings.near_duplicates(spark.createDataFrame([], kind)).count() == 0
