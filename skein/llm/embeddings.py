@@ -5,7 +5,7 @@
    dealt out by range, and compared with the next ``WIDTH`` in that order.
 3. NN-descent: each class's neighbours and (sampled by a grouped maximum) reverse neighbours are joined with each other, that
    is, neighbours of neighbours; a pair enters a list if it beats the list's last entry. Rounds go on until the lists gain
-   next to nothing.
+   next to nothing and no link.
 4. Links are listed pairs with cosine >= threshold; their components come from distributed star rounds.
 5. A list whose last entry is still a link is saturated and can't hold all links of its class. Such classes are compared with
    all classes of their label: in blocks of about ``BLOCK`` of one component, each with a centre and a radius, and a class of
@@ -13,8 +13,10 @@
    links so joins components.
 6. Counts: a component is cut into blocks of about ``BLOCK`` classes and every two blocks of a component are compared exactly,
    each pair of blocks in a group of its own; only link counts leave a block, never pairs.
-7. Audit: ``AUDIT`` classes are compared with all rows of their label in blocks, which gives the recall of the links. Below
-   ``TARGET`` more tables are added and steps 2 to 6 repeated, ``TRIES`` times at most; the recall is reported.
+7. Audit: ``AUDIT`` classes are compared with all rows of their label in blocks. The recall is the mean, over those that have
+   links, of the share of their links that was found; ``whole`` is the share of them that have all, so that none of their links
+   leads to another component. If either is below ``TARGET``, more tables are added and steps 2 to 6 repeated; after ``TRIES``
+   times every class is compared as in step 5. The recall is reported.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and vectors with a null label, link with nothing.
 Vectors of different lengths never link. Copies count as links of each other. Repeated ids are rows of their own; rows with a
@@ -163,15 +165,16 @@ def _round(classes: DataFrame, lists: DataFrame, size: int) -> DataFrame:
     return _lists(out.unionAll(best.select("u", "v", "sim")).groupBy("u", "v").agg(F.max("sim").alias("sim")), size)
 
 
-def _descend(classes: DataFrame, seeds: DataFrame, size: int, rounds: int) -> DataFrame:
+def _descend(classes: DataFrame, seeds: DataFrame, size: int, rounds: int, threshold: float) -> DataFrame:
     lists = materialize(_lists(seeds.groupBy("u", "v").agg(F.max("sim").alias("sim")), size), "lists")
-    quality = lambda d: d.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda a, x: a + x["sim"]))).first()[0] or 0.0
+    links = F.size(F.filter("near", lambda x: x["sim"] >= threshold))
+    quality = lambda d: tuple(x or 0 for x in d.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda a, x: a + x["sim"])), F.sum(links)).first())
     before = quality(lists)
     for _ in range(rounds):
         new = materialize(_round(classes, lists, size), "lists")
         discard(lists)
         lists, after = new, quality(new)
-        if after - before <= 1e-3 * abs(after):
+        if after[0] - before[0] <= 1e-3 * abs(after[0]) and after[1] <= before[1]:
             break
         before = after
     return lists
@@ -294,11 +297,11 @@ def _count_links(classes: DataFrame, member: DataFrame, threshold: float) -> Dat
     return counted.groupBy("cls").agg(F.sum("others").alias("others"))
 
 
-def _audit(classes: DataFrame, found: DataFrame, threshold: float, queries: int) -> float:
-    """Recall of the links of a bounded set of classes, against all rows of their label in blocks."""
+def _audit(classes: DataFrame, found: DataFrame, threshold: float, queries: int) -> tuple[float, float]:
+    """Of a bounded set of classes, those with links, against all rows of their label in blocks: mean share of links found, and share of classes with all."""
     asked = classes.orderBy(F.xxhash64("cls", F.lit(7))).limit(queries).select("cls", "label", "dim", "unit").toArrow()
     if not asked.num_rows:
-        return 1.0
+        return 1.0, 1.0
     by: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     keys = list(zip(asked.column("label").to_pylist(), asked.column("dim").to_pylist(), strict=True))
     for k in set(keys):
@@ -317,12 +320,13 @@ def _audit(classes: DataFrame, found: DataFrame, threshold: float, queries: int)
             yield pa.RecordBatch.from_arrays([pa.array(queries_), pa.array(near @ copies[at])], ["q", "n"])
 
     true = batches(classes.select("cls", "label", "dim", "copies", "unit"), run, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
-    both = true.join(found, F.col("q") == F.col("cls"), "left").agg(F.sum("n"), F.sum(F.coalesce("others", F.lit(0)))).first()
-    return (both[1] or 0) / both[0] if both[0] else 1.0
+    share = (F.coalesce("others", F.lit(0)) / F.col("n")).alias("share")
+    both = true.where("n > 0").join(found, F.col("q") == F.col("cls"), "left").select(share).agg(F.avg("share"), F.avg((F.col("share") >= 1).cast("int"))).first()
+    return (1.0, 1.0) if both[0] is None else (both[0], both[1])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, audit: int = AUDIT, report: dict | None = None) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row; ``report`` receives the audited recall and the tables used."""
+    """(id, n_links, component_id, kept) for every row; ``report`` receives the audited recall, the share of whole classes and the tables used."""
     rows, classes = _classes(df, id_col, vector_col, label_col)
     n = classes.count()
     bits = min(48, max(8, n.bit_length() + 3))
@@ -330,7 +334,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     for tried in range(TRIES):
         more = materialize(_seeds(classes, tables if not tried else TABLES, bits, 0 if not tried else tables - TABLES), "seeds")
         seeds = more if seeds is None else materialize(seeds.unionAll(more), "seeds")
-        lists = _descend(classes, seeds, NEIGHBOURS, ROUNDS)
+        lists = _descend(classes, seeds, NEIGHBOURS, ROUNDS, threshold)
         linked = materialize(_edges(lists).where(F.col("sim") >= threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
         member = materialize(star_components(linked).select(F.col("id").alias("cls"), "component"), "members")
         full = lists.where(F.col("last") >= threshold).select(F.col("u").alias("cls"))
@@ -338,12 +342,19 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             linked = linked.unionAll(_bridges(classes, member, full, threshold))
             member = materialize(star_components(linked).select(F.col("id").alias("cls"), "component"), "members")
         found = materialize(_count_links(classes, member, threshold), "counts")
-        recall = _audit(classes, found, threshold, audit)
-        if report is not None:
-            report.update(recall=recall, tables=tables, classes=n)
-        if recall >= TARGET:
+        recall, whole = _audit(classes, found, threshold, audit)
+        if min(recall, whole) >= TARGET:
             break
-        tables += TABLES
+        tables += TABLES if tried < TRIES - 1 else 0
+    else:
+        linked = linked.unionAll(_bridges(classes, member, classes, threshold))
+        member = materialize(star_components(linked).select(F.col("id").alias("cls"), "component"), "members")
+        found = materialize(_count_links(classes, member, threshold), "counts")
+        recall, whole = _audit(classes, found, threshold, audit)
+        if min(recall, whole) < TARGET:
+            raise RuntimeError(f"recall {recall}, whole {whole} after comparing all pairs of a label")
+    if report is not None:
+        report.update(recall=recall, whole=whole, tables=tables, classes=n)
     known = classes.join(member.withColumnRenamed("cls", "_m"), F.col("cls") == F.col("_m"), "left").join(found.withColumnRenamed("cls", "_f"), F.col("cls") == F.col("_f"), "left")
     known = known.select("label", "unit", "least", F.coalesce("component", "cls").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     known = materialize(known, "rooted")

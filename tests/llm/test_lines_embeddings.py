@@ -144,6 +144,23 @@ def test_adjacent_groups_that_fill_their_lists(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_one_large_group_does_not_hide_lost_pairs(spark, monkeypatch):
+    """Lists without the links of pairs: the links of one group are 99 % of all, but a quarter of the classes lack theirs."""
+    r = np.random.default_rng(8)
+    base = r.standard_normal((11, 64))
+    rows = [(k, (base[0] + 0.05 * r.standard_normal(64)).tolist(), 0) for k in range(60)]
+    rows += [(60 + 2 * p + k, (base[p + 1] + 0.05 * k * r.standard_normal(64)).tolist(), 0) for p in range(10) for k in range(2)]
+    want = slow_links(rows)
+    assert [n for _, n, *_ in want] == [59] * 60 + [1] * 20
+    real = embeddings._descend
+    monkeypatch.setattr(embeddings, "_descend", lambda *a: real(*a).where("size(filter(near, x -> x.sim >= 0.98)) > 1"))
+    monkeypatch.setattr(embeddings, "TRIES", 1)
+    report = {}
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), report=report)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert report["recall"] == report["whole"] == 1.0
+
+
 def test_empty_and_lone(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert embeddings.near_duplicates(spark.createDataFrame([], kind)).count() == 0
