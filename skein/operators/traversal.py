@@ -13,6 +13,8 @@ from skein.session import discard, materialize
 
 #: Levels that are kept as tables of their own before they are written together.
 _COMPACT = 8
+#: Vertices that a round of bounding searches from at either end, at least; rows of distances that a round writes, about, unless so few searches make more.
+_BATCH, _REACHED = 4, 20_000_000
 
 
 def _levels(edges: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,34 +79,50 @@ class Diameter:
     exact: bool
 
 
-def _eccentric(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(root, v, depth) of the farthest vertex of each root; ties go to the smallest."""
-    reached = _levels(edges, seeds, ["root"])
-    far = reached.groupBy("root").agg(F.max_by(F.struct("v", "depth"), F.struct("depth", -F.col("v"))).alias("m"))
-    return far.select("root", F.col("m.v").alias("v"), F.col("m.depth").alias("depth"))
+def _bounded(edges: DataFrame, vertices: DataFrame, least: int) -> int:
+    """The largest eccentricity of ``vertices`` (component_id, n, id), whole components, or ``least`` if that is larger.
+
+    A search from x bounds the eccentricity of every v at distance d between max(d, ecc(x) - d) and ecc(x) + d. Vertices
+    whose upper bound is not above the largest distance found are done. Of the others, those with the largest upper and
+    those with the smallest lower bound are searched next, twice as many each round, until none is left.
+    """
+    size = vertices.count()
+    left = materialize(vertices.select("component_id", F.col("id").alias("w"), F.lit(0).alias("low"), (F.col("n") - 1).cast("int").alias("high")), "bounds")
+    roots = vertices.where("id = component_id").select(F.col("id").alias("v"))
+    batch = _BATCH
+    while True:
+        reached = materialize(_levels(edges, materialize(roots.select(F.col("v").alias("root"), "v"), "roots"), ["root"]), "reached")
+        far = materialize(reached.groupBy(F.col("root").alias("x")).agg(F.max("depth").alias("ecc")), "far")
+        least = max(least, far.agg(F.max("ecc")).first()[0] or 0)
+        low, high = F.max(F.greatest(F.col("depth"), F.col("ecc") - F.col("depth"))), F.min(F.col("ecc") + F.col("depth"))
+        told = reached.join(far, F.col("root") == F.col("x")).groupBy("v").agg(low.alias("l"), high.alias("h"))
+        # vertices that were searched have equal bounds, so they are never left
+        new = left.join(told, F.col("w") == F.col("v"), "left").select("component_id", "w", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high"))
+        new = materialize(new.where(F.col("high") > least), "bounds")
+        discard(left, reached, far)
+        left = new
+        if left.isEmpty():
+            return least
+        outer, inner = left.orderBy(F.desc("high"), "w").limit(batch), left.orderBy("low", "w").limit(batch)
+        roots = outer.unionAll(inner).select(F.col("w").alias("v")).distinct()
+        batch = max(_BATCH, min(2 * batch, _REACHED // size))
 
 
 def diameter_of(graph: Graph, exact_limit: int = 2500) -> Diameter:
-    """The largest distance within any component.
+    """The largest distance within any component, exactly.
 
-    Components of up to ``exact_limit`` vertices are searched from every vertex, all at once. Larger ones get a double
-    sweep from their smallest vertex, which is a lower bound; it counts as exact only if no larger value is possible.
+    Components of up to ``exact_limit`` vertices are searched from every vertex, all at once. Larger ones are searched
+    from chosen vertices until no other can be farther from any.
     """
     undirected_only(graph, "the diameter")
     found = materialize(component_ids(graph), "components")
     sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
-    sized = found.join(sizes, "component_id")
+    sized = materialize(found.join(sizes, "component_id"), "sized")
     small = sized.where(F.col("n") <= exact_limit).select(F.col("id").alias("root"), F.col("id").alias("v"))
-    large = sized.where((F.col("n") > exact_limit) & (F.col("id") == F.col("component_id"))).select(F.col("id").alias("root"), F.col("id").alias("v"))
+    large = sized.where(F.col("n") > exact_limit)
     edges = graph.symmetric
-    exact = 0 if small.isEmpty() else _levels(edges, small, ["root"]).agg(F.max("depth")).first()[0] or 0
-    if large.isEmpty():
-        return Diameter(exact, True)
-    first = materialize(_eccentric(edges, large), "sweep")
-    second = _eccentric(edges, first.select(F.col("v").alias("root"), "v"))
-    bound = second.agg(F.max("depth")).first()[0] or 0
-    ceiling = 2 * (first.agg(F.max("depth")).first()[0] or 0)
-    return Diameter(max(exact, bound), exact >= ceiling or bound == ceiling)
+    value = 0 if small.isEmpty() else _levels(edges, small, ["root"]).agg(F.max("depth")).first()[0] or 0
+    return Diameter(value if large.isEmpty() else _bounded(edges, large, value), True)
 
 
 def diameter(graph: Graph, exact_limit: int = 2500, reference_compatible: bool = False) -> int:

@@ -110,6 +110,17 @@ def test_components_and_diameter(spark):
     assert bound.value == 6
 
 
+def test_diameter_of_components_over_the_limit(spark):
+    """Here a double sweep from the smallest vertex ends at 4; another component is a cycle, whose vertices are all alike."""
+    ends = [(0, 1), (0, 9), (1, 2), (1, 3), (1, 4), (1, 8), (2, 7), (4, 5), (4, 8), (5, 6), (6, 9)]
+    g = Graph().add_edges_from(*map(list, zip(*ends, strict=True)))
+    assert skein.diameter_of(g, exact_limit=3) == skein.diameter_of(g) and skein.diameter(g, exact_limit=3) == 5
+    ends += [(20 + k, 20 + (k + 1) % 9) for k in range(9)] + [(40, 41)]
+    both = Graph().add_edges_from(*map(list, zip(*ends, strict=True)))
+    found = skein.diameter_of(both, exact_limit=3)
+    assert (found.value, found.exact) == (5, True)
+
+
 def test_triangles_and_squares(mixed):
     assert skein.triangles(mixed) == 9 and skein.squares(mixed) == 2
     assert as_dict(skein.triangles(mixed, [0, 2, 3, 4, 999]), "id", "triangles") == {0: 2, 2: 2, 3: 1, 4: 0}
