@@ -1,8 +1,8 @@
 """Benchmark decontamination with SimHash windows (operator 3), in DataFrame functions only.
 
 Words are runs of letters, marks and digits, lower-cased; shingles are ``SIZE`` words (an item with fewer words is one
-shingle). A window is as many words of a document as a benchmark item has. Windows are taken on every diagonal on
-which a document and an item share a shingle, since a window that shares none has similarity zero.
+shingle). A window is as many words of a document as a benchmark item has, at any place. Only windows are taken that hold
+as many positions with shingles of the item as ``THRESHOLD`` needs: the shared weight can't be more than those.
 
 A window's fingerprint is the SimHash of its shingles. Fingerprints of windows and of items of the same length are
 compared by multi-index Hamming blocks: 64 bits are cut into ``BLOCKS`` blocks, and an item is entered under its own
@@ -96,11 +96,16 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hits = materialize(found.distinct(), "hits")
     same = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["text_hash"] == b["text_hash"])
 
-    # a window on each diagonal, kept inside the document
-    on = items.select("item", "length", F.col("size").alias("s"), "at", F.col("h").alias("k"))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n") - F.col("length")))
-    diagonal = hits.join(on, (F.col("h") == F.col("k")) & (F.col("size") == F.col("s")))
-    windows = diagonal.select("doc", "text_hash", "size", "length", start.alias("start"), F.least("n", "length").alias("words")).distinct()
+    # every window, kept inside the document, that holds enough positions with shingles of one item
+    on = items.select("item", "length", F.col("size").alias("s"), F.col("h").alias("k")).distinct()
+    places = hits.join(on, (F.col("h") == F.col("k")) & (F.col("size") == F.col("s"))).groupBy("doc", "text_hash", "n", "size", "length", "item").agg(F.array_sort(F.collect_set("p")).alias("at"))
+    places = places.withColumn("words", F.least("n", "length")).withColumn("own", F.col("words") - F.col("size") + 1)
+    least = F.ceil((F.col("own") + F.col("length") - F.col("size") + 1) * (threshold / (1 + threshold)) - 1e-9)
+    places = places.withColumn("need", F.greatest(F.lit(1), least.cast("int"))).where(F.size("at") >= F.col("need"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.struct(F.get("at", i).alias("first"), F.get("at", i + F.col("need") - 1).alias("last")))
+    runs = F.filter(runs, lambda x: x["last"] - x["first"] < F.col("own"))
+    starts = F.flatten(F.transform(runs, lambda x: F.sequence(F.greatest(F.lit(0), x["last"] - F.col("own") + 1), F.least(x["first"], F.col("n") - F.col("words")))))
+    windows = places.select("doc", "text_hash", "size", "length", "words", F.explode(F.array_distinct(starts)).alias("start")).distinct()
     windows = materialize(windows, "windows")
 
     holders = materialize(hits.select(F.col("doc").alias("d"), F.col("text_hash").alias("t")).distinct(), "holders")

@@ -50,6 +50,20 @@ def test_windows_against_brute_force(spark):
     assert left.columns == df.columns and sorted(x.doc_id for x in left.collect()) == sorted(d for d, *_ in rows if d not in bad)
 
 
+def test_items_with_swapped_halves(spark):
+    """The best window lies between the diagonals of the two halves."""
+    item = [f"w{i}" for i in range(60)]
+    more = lambda k, n: [f"x{k}y{i}" for i in range(n)]
+    swapped, turned = item[30:] + item[:30], item[45:] + item[:45]
+    docs = [(1, more(1, 80) + swapped + more(2, 70)), (2, turned), (3, more(3, 9) + turned), (4, swapped + more(4, 5)), (5, more(5, 80) + item[:30] + more(6, 70)), (6, item[4:])]
+    docs, items = [(d, " ".join(w)) for d, w in docs], [(7, " ".join(item))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = slow(docs, items)
+    assert {d for d, _ in want} == {1, 2, 3, 4, 6}
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_nothing_to_find(spark):
     df = spark.createDataFrame([(1, "some words in a text here")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
