@@ -41,7 +41,9 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    text = F.coalesce("text", F.lit(""))
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", n_lines.alias("n_lines"))
     out = lines.dedup_lines(docs)
     return out.select("doc_id", "n_lines", F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 

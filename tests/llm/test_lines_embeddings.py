@@ -8,7 +8,7 @@ import pytest
 from skein.llm import embeddings, lines
 
 
-def slow_lines(rows, min_words=5):
+def slow_lines(rows, min_words=1):
     """(row index, position) of every line that an earlier line is similar to."""
     seen, gone = [], set()
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
@@ -72,17 +72,26 @@ def test_line_keys_and_empty_tables(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_the_order_of_tokens_changes_nothing(spark):
+def test_the_order_of_tokens_changes_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
     rows = documents(9)
     df = spark.createDataFrame([(*x, 1, "k", 2) for x in rows], SCHEMA)
     key = lambda d: sorted((r.doc_id, r.text) for r in d.collect())
     full = key(lines.dedup_lines(df))
-    old = lines.frequent
-    try:
-        lines.frequent = lambda *_: []
-        assert key(lines.dedup_lines(df)) == full
-    finally:
-        lines.frequent = old
+    monkeypatch.setattr(lines, "_bands", lambda *_: F.array_repeat(F.lit(0).cast("long"), lines.BUCKETS))
+    assert key(lines.dedup_lines(df)) == full
+
+
+def test_joins_by_shuffle_and_long_lines_change_nothing(spark, monkeypatch):
+    """Nothing is broadcast, most lines have 128 parity bits, and candidates are verified in many rounds."""
+    rows = documents(4) + [(200 + i, " ".join(f"w{j % 211}" for j in range(i, i + 150))) for i in range(0, 60, 4)]
+    df = spark.createDataFrame([(*x, 1, "k", 2) for x in rows], SCHEMA)
+    for name, value in (("BROADCAST_BYTES", 0), ("WIDE", 20), ("ROUNDS", (1, 2, 3))):
+        monkeypatch.setattr(lines, name, value)
+    got = {r.doc_id: r._removed for r in lines.dedup_lines(df).collect()}
+    gone = slow_lines(rows)
+    assert got == {d: sum(a == i for a, _ in gone) for i, (d, _) in enumerate(rows)} and max(got[d] for d in got if d >= 200)
 
 
 # --- operator 5
