@@ -18,7 +18,7 @@ _WHERE = {
         "count_triangles", "jaccard", "k_truss", "max_truss", "squares", "triangle_centrality", "triangles", "triangles_per_vertex", "truss_decomposition",
     ),
     "skein.operators.communities": ("min_cut", "well_connected_clusters", "well_connected_components"),
-    "skein.operators.matching": ("match_table", "subgraph_isomorphism", "subgraph_monomorphism", "with_multiplicities"),
+    "skein.operators.matching": ("match_table", "subgraph_isomorphism", "subgraph_monomorphism", "triads", "with_multiplicities"),
     "skein.sources.files": (
         "graph_file_read", "graph_file_read_mtx", "preprocess_edge_file", "read_clusters", "read_edge_list", "read_matrix_market_file", "read_tsv_file",
         "relabelled", "relabelling", "write_clusters", "write_edge_list", "write_jaccard", "write_nde",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,9 +108,20 @@ def gnp_random_graph(n: int, p: float, create_using: type[Graph], seed: int | No
     """
     if not 0 < p < 1:
         raise ValueError("p must be between 0 and 1")
-    ids = _session().range(n)
-    pairs = ids.select(F.col("id").alias("src")).crossJoin(ids.select(F.col("id").alias("dst")))
-    return _built(create_using, pairs.where("src < dst" if each_pair_once else "src <> dst").where(F.rand(_seed(seed)) < p))
+    seed = _seed(seed)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The targets of each vertex, by geometric gaps from one to the next: work in proportion to the edges."""
+        for batch in it:
+            for src in batch.column(0).to_pylist():
+                rng, at = np.random.default_rng((seed, src)), src if each_pair_once else -1
+                while at < n - 1:
+                    found = at + np.cumsum(rng.geometric(p, min(int((n - at) * p) + 16, 1 << 20)))
+                    at = int(found[-1])
+                    found = found[(found < n) & (found != src)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), src)), pa.array(found)], ["src", "dst"])
+
+    return _built(create_using, _session().range(n).mapInArrow(run, "src long, dst long"))
 
 
 def gnm_edges(n: int, m: int, seed: int | None = None) -> DataFrame:
@@ -134,18 +147,31 @@ def watts_strogatz_graph(n: int, k: int, p: float, create_using: type[Graph], se
 def barabasi_albert_graph(n: int, m: int, create_using: type[Graph], seed: int | None = None) -> Graph:
     """Preferential attachment: a star of m leaves, then m picks a vertex from the endpoints so far.
 
-    Every pick depends on the ones before, so the draw is a loop on the driver, over numpy arrays of 16 bytes an edge.
+    The endpoints stand in one list, two an edge. A pick is a place in it, by a hash of the edge's number; the place of another pick
+    is looked up by the same hash, so every edge is found on its own, and nothing is drawn in sequence.
     """
     if m < 1 or m >= n:
         raise ValueError("m must be at least 1 and below n")
-    rng = np.random.default_rng(seed)
-    ends = np.empty(2 * m * (n - m), np.int64)
-    ends[0 : 2 * m : 2], ends[1 : 2 * m : 2] = m, np.arange(m)
-    at = 2 * m
-    for v in range(m + 1, n):
-        picked = ends[rng.choice(at, size=min(m, at), replace=False)]
-        ends[at : at + 2 * m : 2], ends[at + 1 : at + 2 * m : 2] = v, picked
-        at += 2 * m
-    import pandas as pd
-
-    return _built(create_using, _session().createDataFrame(pd.DataFrame({"src": ends[:at:2], "dst": ends[1:at:2]}), "src long, dst long"))
+    seed = _seed(seed)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            edge = batch.column(0).to_numpy()
+            out = np.full(len(edge), -1)
+            number = edge.copy()
+            while (open_ := np.flatnonzero(out < 0)).size:
+                i = number[open_]
+                place = np.where(i < m, 0, _mixed(i, seed) % np.maximum(1, 2 * m * (i // m)).astype(np.uint64)).astype(np.int64)
+                number[open_] = place // 2
+                out[open_] = np.where(i < m, i, np.where(place % 2 == 0, m + place // 2 // m, -1))
+            yield pa.RecordBatch.from_arrays([pa.array(m + edge // m), pa.array(out)], ["src", "dst"])
+
+    return _built(create_using, _session().range(m * (n - m)).mapInArrow(run, "src long, dst long"))
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """64 well mixed bits for each number."""
+    x = (x.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from itertools import combinations, permutations
 from threading import Timer
 from typing import TypeVar
 
@@ -79,3 +80,20 @@ def with_multiplicities(edge_matches: DataFrame, edges: DataFrame, attribute: st
     known = edge_matches.join(edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col(attribute).alias("_a")), (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")))
     sizes = known.groupBy("match_id", "_a").agg(F.count(F.lit(1)).cast("int").alias("n")).groupBy("match_id").agg(F.array_sort(F.collect_list("n")).alias("sizes"))
     return sizes.where(F.col("sizes") == F.array(*(F.lit(int(m)) for m in sorted(multiplicities)))).select("match_id")
+
+
+def triads() -> dict[int, list[tuple[int, int]]]:
+    """The thirteen directed patterns that join three vertices, each once up to renaming.
+
+    A pattern's code has a bit for each ordered pair of its vertices, in the order of the pairs; of all renamings the one with the
+    smallest code stands for the pattern.
+    """
+    pairs = list(permutations(range(3), 2))
+    code = lambda edges: sum(1 << pairs.index(e) for e in edges)
+    out = {}
+    for k in range(2, 7):
+        for edges in combinations(pairs, k):
+            least = min(code([(p[a], p[b]) for a, b in edges]) for p in permutations(range(3)))
+            if code(edges) == least and len({frozenset(e) for e in edges}) > 1:
+                out[least] = list(edges)
+    return out

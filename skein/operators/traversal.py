@@ -17,30 +17,28 @@ _COMPACT = 8
 _BATCH, _REACHED = 4, 20_000_000
 
 
-def _levels(edges: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
+def _levels(edges: DataFrame, seeds: DataFrame, keys: list[str], symmetric: bool) -> DataFrame:
     """(keys…, v, depth) reached from ``seeds`` (keys…, v) along ``edges`` (src, dst); each key is a search of its own.
 
-    A round joins the frontier with the edges, drops what earlier rounds have reached and writes the rest.
+    A round joins the frontier with the edges, drops what earlier rounds have reached and writes the rest. If every edge
+    is there both ways, only the last two levels can be reached again, so a round's work follows its frontier.
     """
     edges = materialize(edges.select("src", "dst"), "bfs-edges")
     parts = [materialize(seeds.distinct().withColumn("depth", F.lit(0)), "level")]
-    frontier = parts[0]
     depth = 0
-    while not frontier.isEmpty():
+    while not parts[-1].isEmpty():
         depth += 1
-        step = frontier.drop("depth").join(edges, F.col("v") == F.col("src")).select(*keys, F.col("dst").alias("v")).distinct()
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionAll(p)
-        new = step.join(seen.select(*keys, "v"), [*keys, "v"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = materialize(new, "level")
-        parts.append(frontier)
-        if len(parts) > _COMPACT:
-            whole = parts[0]
-            for p in parts[1:]:
-                whole = whole.unionAll(p)
-            old, parts = parts, [materialize(whole, "levels")]
-            discard(*(p for p in old if p is not frontier))
+        step = parts[-1].drop("depth").join(edges, F.col("v") == F.col("src")).select(*keys, F.col("dst").alias("v")).distinct()
+        seen = _union(parts[-2:] if symmetric else parts)
+        parts.append(materialize(step.join(seen.select(*keys, "v"), [*keys, "v"], "left_anti").withColumn("depth", F.lit(depth)), "level"))
+        if len(parts) > _COMPACT + 2:
+            old, parts = parts[:-2], [materialize(_union(parts[:-2]), "levels"), *parts[-2:]]
+            discard(*old)
+    discard(edges)
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
@@ -52,7 +50,7 @@ def bfs_layers(graph: Graph, source: int) -> DataFrame:
     seeds = graph.nodes().where(F.col("id") == source).select(F.col("id").alias("v"))
     if seeds.isEmpty():
         raise ValueError("Source vertex not found in graph.")
-    reached = _levels(graph.edges(), seeds, [])
+    reached = _levels(graph.edges(), seeds, [], not graph.directed)
     return graph.nodes().join(reached, F.col("id") == F.col("v"), "left").select("id", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
@@ -91,7 +89,7 @@ def _bounded(edges: DataFrame, vertices: DataFrame, least: int) -> int:
     roots = vertices.where("id = component_id").select(F.col("id").alias("v"))
     batch = _BATCH
     while True:
-        reached = materialize(_levels(edges, materialize(roots.select(F.col("v").alias("root"), "v"), "roots"), ["root"]), "reached")
+        reached = materialize(_levels(edges, materialize(roots.select(F.col("v").alias("root"), "v"), "roots"), ["root"], True), "reached")
         far = materialize(reached.groupBy(F.col("root").alias("x")).agg(F.max("depth").alias("ecc")), "far")
         least = max(least, far.agg(F.max("ecc")).first()[0] or 0)
         low, high = F.max(F.greatest(F.col("depth"), F.col("ecc") - F.col("depth"))), F.min(F.col("ecc") + F.col("depth"))
@@ -121,7 +119,7 @@ def diameter_of(graph: Graph, exact_limit: int = 2500) -> Diameter:
     small = sized.where(F.col("n") <= exact_limit).select(F.col("id").alias("root"), F.col("id").alias("v"))
     large = sized.where(F.col("n") > exact_limit)
     edges = graph.symmetric
-    value = 0 if small.isEmpty() else _levels(edges, small, ["root"]).agg(F.max("depth")).first()[0] or 0
+    value = 0 if small.isEmpty() else _levels(edges, small, ["root"], True).agg(F.max("depth")).first()[0] or 0
     return Diameter(value if large.isEmpty() else _bounded(edges, large, value), True)
 
 

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein import generators
 from skein.functions.sequences import SArrays, lcp_array, lcs, suffix_array
 from skein.graph import DiGraph, Graph, PropGraph
 from skein.operators import cohesion, communities, matching, traversal
@@ -306,12 +307,23 @@ def g_k_truss(spark, d):
     return cohesion.k_truss(follow(spark, d), 4)
 
 
-@query("g_truss_decomposition")
+# an edge stands in the table once for every k whose truss holds it; k rises when a round takes no edge away
+_PEEL = """peel AS (
+  SELECT src, dst, CAST(2 AS INTEGER) AS k FROM sy WHERE src < dst
+  UNION ALL (
+    WITH s AS (SELECT src, dst FROM peel UNION ALL SELECT dst, src FROM peel),
+    kept AS (
+      SELECT e.src, e.dst, e.k FROM peel e JOIN s x ON x.src = e.src JOIN s y ON y.src = e.dst AND y.dst = x.dst
+      GROUP BY e.src, e.dst, e.k HAVING count(*) >= e.k - 1)
+    SELECT src, dst, CAST(k + CASE WHEN (SELECT count(*) FROM kept) = (SELECT count(*) FROM peel) THEN 1 ELSE 0 END AS INTEGER) FROM kept))"""
+
+
+@query("g_truss_decomposition", f"WITH RECURSIVE {FOLLOW}, {_PEEL} SELECT src, dst, max(k) AS truss FROM peel GROUP BY src, dst")
 def g_truss_decomposition(spark, d):
     return cohesion.truss_decomposition(follow(spark, d))
 
 
-@query("g_max_truss")
+@query("g_max_truss", f"WITH RECURSIVE {FOLLOW}, {_PEEL} SELECT CAST(max(k) AS BIGINT) AS max_truss FROM peel")
 def g_max_truss(spark, d):
     return one(spark, max_truss=cohesion.max_truss(follow(spark, d)))
 
@@ -367,6 +379,54 @@ def g_attributed_pattern(spark, d):
     return compile_pattern(market(spark, d), _return_pattern(spark), True, "probability")
 
 
+_LOOPS = f"WITH {FOLLOW}, m AS (SELECT a.src AS v0, a.dst AS v1, b.dst AS v2, a.weight AS x, b.weight AS y, c.weight AS z FROM di a JOIN di b ON b.src = a.dst JOIN di c ON c.src = b.dst AND c.dst = a.src WHERE a.src <> b.dst)"
+
+
+@query("g_match_vertices", f"{_LOOPS} SELECT h_vertex, g_vertex, count(*) AS matches FROM (SELECT 0 AS h_vertex, v0 AS g_vertex FROM m UNION ALL SELECT 1, v1 FROM m UNION ALL SELECT 2, v2 FROM m) GROUP BY h_vertex, g_vertex")
+def g_match_vertices(spark, d):
+    found = matching.subgraph_monomorphism(follow_directed(spark, d), _loop_pattern())
+    return found.groupBy("h_vertex", "g_vertex").agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query("g_match_edges", f"{_LOOPS} SELECT h_src, h_dst, src, dst, count(*) AS matches FROM (SELECT 0 AS h_src, 1 AS h_dst, v0 AS src, v1 AS dst FROM m UNION ALL SELECT 1, 2, v1, v2 FROM m UNION ALL SELECT 2, 0, v2, v0 FROM m) GROUP BY ALL")
+def g_match_edges(spark, d):
+    found = matching.subgraph_monomorphism(follow_directed(spark, d), _loop_pattern(), return_isos_as="edges", algorithm_type="ps")
+    return found.groupBy("h_src", "h_dst", "src", "dst").agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query("g_match_limit", f"{_LOOPS} SELECT least(25, count(*)) AS matches FROM m")
+def g_match_limit(spark, d):
+    return one(spark, matches=matching.subgraph_monomorphism(follow_directed(spark, d), _loop_pattern(), size_limit=25, return_isos_as="count"))
+
+
+@query("g_motif_multiplicities", f"{_LOOPS} SELECT count(*) AS matches FROM m WHERE (x = y AND y <> z) OR (x = z AND x <> y) OR (y = z AND x <> y)")
+def g_motif_multiplicities(spark, d):
+    """Loops of three whose edges have one weight twice and another once."""
+    graph = follow_directed(spark, d)
+    found = matching.subgraph_monomorphism(graph, _loop_pattern(), return_isos_as="edges")
+    return one(spark, matches=matching.with_multiplicities(found, graph.edges(), "weight", [1, 2]).count())
+
+
+@query(
+    "g_triads",
+    f"""WITH {FOLLOW}, t AS (SELECT a AS x, b AS y, c AS z FROM tri UNION ALL SELECT a, c, b FROM tri UNION ALL SELECT b, a, c FROM tri UNION ALL SELECT b, c, a FROM tri UNION ALL SELECT c, a, b FROM tri UNION ALL SELECT c, b, a FROM tri),
+    e AS (SELECT src, dst FROM di),
+    code AS (
+      SELECT (xy.src IS NOT NULL)::INT + 2 * (xz.src IS NOT NULL)::INT + 4 * (yx.src IS NOT NULL)::INT + 8 * (yz.src IS NOT NULL)::INT + 16 * (zx.src IS NOT NULL)::INT + 32 * (zy.src IS NOT NULL)::INT AS code
+      FROM t LEFT JOIN e xy ON xy.src = x AND xy.dst = y LEFT JOIN e xz ON xz.src = x AND xz.dst = z LEFT JOIN e yx ON yx.src = y AND yx.dst = x
+      LEFT JOIN e yz ON yz.src = y AND yz.dst = z LEFT JOIN e zx ON zx.src = z AND zx.dst = x LEFT JOIN e zy ON zy.src = z AND zy.dst = y)
+    SELECT p.code AS pattern, count(c.code) AS matches FROM (VALUES (11), (15), (25), (27), (30), (31), (63)) p(code) LEFT JOIN code c ON c.code = p.code GROUP BY p.code""",
+)
+def g_triads(spark, d):
+    """Induced matches of the triads whose three vertices are all joined, by the code of their edges."""
+    graph, rows = follow_directed(spark, d), []
+    for code, edges in matching.triads().items():
+        if len({frozenset(e) for e in edges}) == 3:
+            found = matching.subgraph_isomorphism(graph, DiGraph().add_edges_from(*map(list, zip(*edges, strict=True))), return_isos_as="count")
+            rows.append((code, found))
+    return spark.createDataFrame(rows, "pattern int, matches long")
+
+
 # --- property graphs
 
 
@@ -484,6 +544,103 @@ def g_clusters_file(spark, d):
     return files.read_clusters(spark, path)
 
 
+@query("g_matrix_market_file", f"WITH {FOLLOW} SELECT src, dst, CAST(weight AS DOUBLE) AS weight FROM di")
+def g_matrix_market_file(spark, d):
+    import uuid
+
+    path = f"{shared_dir(spark)}/mtx-{uuid.uuid4().hex}"
+    edges = follow_directed(spark, d).edges()
+    entry = F.concat_ws(" ", *(F.col(c).cast("string") for c in ("src", "dst", "weight")))
+    head = edges.agg(F.concat_ws(" ", F.max("src").cast("string"), F.max("dst").cast("string"), F.count(F.lit(1)).cast("string")).alias("line"))
+    title = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general")], "part int, line string")
+    lines = title.unionByName(head.select(F.lit(1).alias("part"), "line")).select("part", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "line")
+    files.write_lines(lines.unionByName(edges.select(F.lit(2).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), entry.alias("line"))), path)
+    return files.read_matrix_market_file(path, directed=True).edges()
+
+
+@query("g_preprocessed_file", f"WITH {FOLLOW}, k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS vid FROM v) SELECT x.vid AS src, y.vid AS dst FROM sy JOIN k x ON x.id = src JOIN k y ON y.id = dst WHERE x.vid < y.vid")
+def g_preprocessed_file(spark, d):
+    import uuid
+
+    path = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    files.write_edge_list(follow_rows(spark, d).select("src", "dst"), path)
+    return files.preprocess_edge_file(path)
+
+
+@query("g_jaccard_file", f"WITH {CLICK} SELECT p.u, p.v, round(c / (a.d + b.d - c), 9) AS jaccard FROM (SELECT x.dst AS u, y.dst AS v, CAST(count(*) AS DOUBLE) AS c FROM sy x JOIN sy y ON x.src = y.src AND x.dst < y.dst GROUP BY x.dst, y.dst) p JOIN deg a ON a.id = p.u JOIN deg b ON b.id = p.v")
+def g_jaccard_file(spark, d):
+    import uuid
+
+    path = f"{shared_dir(spark)}/jaccard-{uuid.uuid4().hex}"
+    files.write_jaccard(cohesion.jaccard(click(spark, d)), path)
+    part = lambda i, kind: F.regexp_extract("value", r"^u=(-?\d+),v=(-?\d+),(.*)$", i).cast(kind)
+    return spark.read.text(path).select(part(1, "long").alias("u"), part(2, "long").alias("v"), F.round(part(3, "double"), 9).alias("jaccard"))
+
+
+_RANKED = "k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS vid FROM ends)"
+
+
+@query(
+    "g_glasgow_lines",
+    f"WITH {MARKET}, {_RANKED} SELECT 0 AS part, x.vid AS a, y.vid AS b, x.vid || '>' || y.vid || ',' || flag || ',' || status || ',' || quantity || ',' || okey || ',' || line AS line FROM e JOIN k x ON x.id = src JOIN k y ON y.id = dst "
+    "UNION ALL SELECT 1, vid, 0, vid || ',,' || kind || ',' || nation FROM n JOIN k USING (id)",
+)
+def g_glasgow_lines(spark, d):
+    return files.glasgow_lines(market(spark, d))
+
+
+@query(
+    "g_vf3_lines",
+    f"WITH {MARKET}, {_RANKED} SELECT 0 AS part, 0 AS a, -1 AS b, count(*) || chr(10) AS line FROM k UNION ALL SELECT 1, vid, -1, vid || ' ' || kind || ' ' || nation FROM n JOIN k USING (id) "
+    "UNION ALL SELECT 2, vid, -1, chr(10) || (SELECT count(*) FROM e WHERE src = k.id) FROM k UNION ALL SELECT 2, x.vid, y.vid, x.vid || ' ' || y.vid FROM e JOIN k x ON x.id = src JOIN k y ON y.id = dst",
+)
+def g_vf3_lines(spark, d):
+    return files.vf3_lines(market(spark, d))
+
+
+# --- generators
+
+
+@query("g_complete", "SELECT a.range AS src, b.range AS dst FROM range(60) a, range(60) b WHERE a.range <> b.range")
+def g_complete(spark, d):
+    return generators.complete_graph(60, Graph).edges().select("src", "dst")
+
+
+@query("g_path", "SELECT range AS src, range + 1 AS dst FROM range(4999)")
+def g_path(spark, d):
+    return generators.path_graph(5000, DiGraph).edges().select("src", "dst")
+
+
+@query("g_karate", "SELECT 34::BIGINT AS n_vertices, 78::BIGINT AS n_edges, 45::BIGINT AS triangles, 154::BIGINT AS squares")
+def g_karate(spark, d):
+    graph = generators.karate_club_graph(Graph)
+    return one(spark, n_vertices=len(graph), n_edges=graph.size(), triangles=cohesion.count_triangles(graph), squares=cohesion.squares(graph))
+
+
+@query("g_random_tree", "SELECT 2000::BIGINT AS n_vertices, 1999::BIGINT AS n_edges, 1::BIGINT AS components")
+def g_random_tree(spark, d):
+    graph = generators.random_tree(2000, Graph, seed=3)
+    return one(spark, n_vertices=len(graph), n_edges=graph.size(), components=traversal.count_components(graph))
+
+
+@query("g_ring_lattice", "SELECT DISTINCT a.range AS src, (a.range + j.o + 1000) % 1000 AS dst FROM range(1000) a, (VALUES (-3), (-2), (-1), (1), (2), (3)) j(o)")
+def g_ring_lattice(spark, d):
+    return generators.watts_strogatz_graph(1000, 6, 0.0, Graph, seed=1).edges().select("src", "dst")
+
+
+@query("g_attachment", "SELECT 3000::BIGINT AS n_vertices, 1::BIGINT AS components, TRUE AS edges_in_range")
+def g_attachment(spark, d):
+    graph = generators.barabasi_albert_graph(3000, 4, Graph, seed=5)
+    return one(spark, n_vertices=len(graph), components=traversal.count_components(graph), edges_in_range=2996 * 3 < graph.size() <= 2996 * 4)
+
+
+@query("g_rmat", "SELECT TRUE AS vertices_in_range, TRUE AS edges_in_range, TRUE AS repeats")
+def g_rmat(spark, d):
+    graph, again = (generators.rmat_graph(10, Graph, edge_factor=8, seed=2) for _ in range(2))
+    ends = graph.nodes().agg(F.min("id"), F.max("id")).first()
+    return one(spark, vertices_in_range=0 <= ends[0] and ends[1] < 1 << 10, edges_in_range=0 < graph.size() <= 8 << 10, repeats=graph.edges().exceptAll(again.edges()).isEmpty())
+
+
 # --- sketches and sequences
 
 _STREAM = "(SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS line, CAST(l_partkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) AS dst FROM lineitem)"
@@ -505,7 +662,19 @@ def g_sketch(spark, d):
     return sketches.sketch(_stream(spark, d), 5000, 300)
 
 
-@query("g_stream_triangles")
+# three sketches of the thirds of the stream, and the triangles in each
+_SKETCHES = f"""h AS (
+  SELECT CASE WHEN line < n // 3 THEN 0 WHEN line >= (2 * n) // 3 THEN 2 ELSE 1 END AS part, line % (n // 9) AS slot, src % 100 AS src, dst % 100 AS dst, line
+  FROM {_STREAM}, (SELECT count(*) AS n FROM lineitem)),
+held AS (SELECT part, slot, arg_max(src, line) AS s, arg_max(dst, line) AS d FROM h GROUP BY part, slot),
+apart AS (SELECT part, CASE WHEN s = d THEN (s + 1) % 100 ELSE s END AS src, d AS dst FROM held),
+sides AS (SELECT part, src, dst FROM apart WHERE src <> dst UNION SELECT part, dst, src FROM apart WHERE src <> dst)"""
+
+
+@query(
+    "g_stream_triangles",
+    f"WITH {_SKETCHES} SELECT 3 * count(*) AS estimate FROM sides a JOIN sides b ON a.part = b.part AND a.dst = b.src AND a.src < a.dst AND b.src < b.dst JOIN sides c ON c.part = a.part AND c.src = a.src AND c.dst = b.dst",
+)
 def g_stream_triangles(spark, d):
     rows = _stream(spark, d)
     return one(spark, estimate=sketches.stream_pl_tri_cnt(rows, rows.count(), 900, 3))
@@ -516,16 +685,52 @@ def g_suffix_array(spark, d):
     return table(spark, d, "nation").select(F.col("n_name").alias("text"), suffix_array("n_name").alias("suffixes"))
 
 
-@query("g_lcp_array")
+_SUFFIXES = "(SELECT n_name, list_sort(list_transform(range(1, len(n_name) + 2), lambda i: substr(n_name, i))) AS s FROM nation)"
+
+
+@query(
+    "g_lcp_array",
+    "SELECT n_name AS text, list_transform(range(1, len(s) + 1), lambda i: CAST(CASE WHEN i = 1 THEN 0 ELSE len(list_filter(range(1, len(s[i - 1]) + 1), lambda k: left(s[i - 1], k) = left(s[i], k))) END AS INTEGER)) AS lcp "
+    f"FROM {_SUFFIXES}",
+)
 def g_lcp_array(spark, d):
     return table(spark, d, "nation").select(F.col("n_name").alias("text"), lcp_array("n_name", suffix_array("n_name")).alias("lcp"))
 
 
-@query("g_lcs")
+@query(
+    "g_lcs",
+    # one row of the dynamic programme for each letter of the nation
+    """WITH RECURSIVE both_ AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+    dp AS (
+      SELECT n_name, r_name, CAST(0 AS BIGINT) AS i, list_transform(range(0, len(r_name) + 1), lambda j: CAST(0 AS BIGINT)) AS row FROM both_
+      UNION ALL
+      SELECT n_name, r_name, i + 1, list_transform(range(0, len(r_name) + 1), lambda j: CASE WHEN j = 0 THEN CAST(0 AS BIGINT) ELSE
+        list_max(list_transform(range(1, j + 1), lambda q: greatest(row[q + 1], CASE WHEN substr(r_name, q, 1) = substr(n_name, i + 1, 1) THEN row[q] + 1 ELSE 0 END))) END)
+      FROM dp WHERE i < len(n_name))
+    SELECT n_name, r_name, row[len(r_name) + 1] AS length, TRUE AS in_nation, TRUE AS in_region FROM dp WHERE i = len(n_name)""",
+)
 def g_lcs(spark, d):
     nations, regions = table(spark, d, "nation"), table(spark, d, "region")
-    rows = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select("n_name", "r_name", lcs("n_name", "r_name").alias("common"))
+    rows = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("common", lcs("n_name", "r_name"))
+    # the letters in order with anything between: there may be several longest ones
+    within = F.array_join(F.split("common", ""), ".*")
+    return rows.select("n_name", "r_name", F.length("common").cast("long").alias("length"), F.col("n_name").rlike(within).alias("in_nation"), F.col("r_name").rlike(within).alias("in_region"))
+
+
+_SORTED = "s AS (SELECT CAST(n_nationkey AS BIGINT) AS row, list_transform(list_sort(list_transform(range(0, len(n_name) + 1), lambda i: {'s': substr(n_name, CAST(i + 1 AS BIGINT)), 'i': i})), lambda x: x.i) AS v FROM nation)"
+
+
+@query("g_suffix_compared", f"WITH {_SORTED} SELECT a.row, a.v = b.v AS result FROM s a JOIN s b ON b.row = 24 - a.row")
+def g_suffix_compared(spark, d):
+    nations = table(spark, d, "nation")
+    turned = nations.select((24 - F.col("n_nationkey")).alias("row"), "n_name")
+    return SArrays.of_strings(nations, "n_nationkey", "n_name") == SArrays.of_strings(turned, "row", "n_name")
+
+
+@query("g_suffix_members", f"WITH {_SORTED} SELECT a.row, EXISTS (SELECT 1 FROM s b WHERE b.row % 3 = 0 AND b.v = a.v) AS result FROM s a")
+def g_suffix_members(spark, d):
+    arrays = SArrays.of_strings(table(spark, d, "nation"), "n_nationkey", "n_name")
+    return arrays.in1d(arrays[::3])
 
 
 @query("g_suffix_lengths", "SELECT CAST(n_nationkey AS BIGINT) AS row, CAST(len(n_name) + 1 AS INTEGER) AS length FROM nation")
