@@ -9,7 +9,8 @@ with similarity.
 Only the sample is bounded (``MAX_LABELLED`` rows, half of them at most from either label, those with the smallest
 hash of their id); whole texts are scored, all of them. Label, language, source and id are no inputs of a score.
 
-Null and empty texts have no terms and score 0. Of a repeated label the smallest counts, null labels don't count.
+Null and empty texts have no terms; they score the share of label 1 among such labelled texts, or else among all. Of neighbours that are
+equally near the earlier in the model's order counts. Of a repeated label the smallest counts, null labels don't count.
 Without any labelled text every score is 0.5. Rows repeat as often as they came; other columns are ignored.
 """
 
@@ -85,6 +86,8 @@ class Model:
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray):
         self.labels = labels.astype(np.float32)
+        alike = self.labels[~rows.any(1)] if len(rows) else self.labels
+        self.blank = float((alike if len(alike) else self.labels).mean()) if len(rows) else 0.5
         n = max(1, len(rows))
         self.idf = (np.log((1 + n) / (1 + (rows > 0).sum(0))) + 0.3).astype(np.float32) * _FAMILY
         weighted = self._unit(rows * self.idf)
@@ -103,15 +106,16 @@ class Model:
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        """A score for each row of terms; rows without any term score 0."""
+        """A score for each row of terms; rows without any term score the share of label 1 of their kind."""
         if not len(self.labels):
             return np.full(len(rows), 0.5)
         cosines = self._unit(self._unit(rows * self.idf) @ self.project) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        ordered = np.arange(len(self.labels)) * 1e-12 - cosines  # less than cosines differ by, so it only settles ties
+        near = np.argpartition(ordered, k - 1, axis=1)[:, :k]
         weights = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6).astype(np.float64) ** 12
         votes = (weights * self.labels[near]).sum(1) / weights.sum(1)
-        return np.where(rows.any(1), np.clip(votes, 0, 1), 0.0)
+        return np.where(rows.any(1), np.clip(votes, 0, 1), self.blank)
 
 
 def held_out(id_col: str) -> F.Column:
