@@ -127,7 +127,9 @@ def _placed(fps: DataFrame, reach: int, name: str) -> DataFrame:
             row, anchor = anchors(part, reach)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row])], ["anchor", name])
 
-    return batches(fps.select("fp"), run, f"anchor long, {name} long")
+    # the table of classes may be one file, and each row becomes dozens: spread it over the cluster first
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return batches(spread, run, f"anchor long, {name} long")
 
 
 def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
