@@ -13,7 +13,7 @@ only once the driver has named them in a manifest, so lost and repeated tasks le
 ``min_bytes`` bytes, the one with the largest id is a response and the others are revisits that refer to it.
 
 Null payloads count as empty, null URLs leave the target header out. Rows with a null id are revisits of the largest id
-among their equals, and responses if there is none; rows that repeat the largest id are responses. Other columns are
+among their equals, and responses if there is none; rows that repeat the largest id are responses. Response ids derive from the archive and the page, so rows that repeat an id repeat the record id. Other columns are
 ignored; an empty table gives an archive without records.
 """
 
@@ -22,17 +22,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from skein.session import materialize, shared_dir
+from skein.session import discard, materialize, shared_dir
 
 FORMAT = "skein_warc"
 #: Bytes after which a task begins another archive file.
@@ -74,8 +76,18 @@ def _uri(path: str) -> str:
     return f"file:///{path[5:].lstrip('/')}" if path.startswith("file:") else path
 
 
-def _line(value: str) -> str:
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in value or "\n" in value else value
+_ODD = re.compile(r"[%\s]")
+
+
+def _line(value: str) -> tuple[str, bool]:
+    """A header value, and whether it had to be escaped: line ends or outer spaces wouldn't come back."""
+    odd = value != value.strip() or "\r" in value or "\n" in value
+    return (_ODD.sub(lambda m: quote(m[0], safe=""), value) if odd else value), odd
+
+
+def record_id(archive_name: str, page_id: int) -> str:
+    """The record id of a page's response in an archive, which its revisits name."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive_name}/{page_id}')}>"
 
 
 def gzip_member(data: bytes, level: int = 1) -> bytes:
@@ -83,18 +95,26 @@ def gzip_member(data: bytes, level: int = 1) -> bytes:
     pack = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = pack.compress(data) + pack.flush()
     size = 12 + 12 + len(body) + 8
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<HccHII", 12, b"s", b"l", 8, size, len(data) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    tail = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    if size >> 32:  # the field can't hold it: readers find the end by inflating
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + tail
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<HccHII", 12, b"s", b"l", 8, size, len(data) & 0xFFFFFFFF) + body + tail
 
 
-def record(page_id: int | None, url: str | None, kind: str, payload: bytes, refers_to: int | None, date: str = _DATE, payload_digest: str | None = None) -> bytes:
+def record(page_id: int | None, url: str | None, kind: str, payload: bytes, refers_to: int | None, date: str = _DATE, payload_digest: str | None = None, archive_name: str = "", refers_url: str | None = None) -> bytes:
     """One WARC record, without compression."""
     block = b"" if kind == "revisit" else _HTTP % len(payload) + payload
-    name = uuid.uuid4()
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response")]
-    head += [("WARC-Target-URI", _line(url))] if url is not None else []
+    name = record_id(archive_name, page_id) if kind != "revisit" and page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
+    head = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response")]
+    for field, value in (("WARC-Target-URI", url), ("WARC-Refers-To-Target-URI", refers_url)):
+        if value is not None:
+            text, odd = _line(value)
+            head += [(field, text), *([("X-Escaped", field)] if odd else [])]
     head += [("WARC-Payload-Digest", f"sha1:{payload_digest or digest(payload)}"), ("X-Payload-Length", str(len(payload)))]
     head += [("X-Page-Id", str(page_id))] if page_id is not None else []
-    head += [("WARC-Profile", _REVISIT), ("X-Refers-To-Page", str(refers_to))] if kind == "revisit" else []
+    if kind == "revisit":
+        head += [("WARC-Profile", _REVISIT)]
+        head += [("WARC-Refers-To", record_id(archive_name, refers_to)), ("X-Refers-To-Page", str(refers_to))] if refers_to is not None else []
     head += [("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -170,7 +190,9 @@ def _fields(head: bytes) -> dict[str, str]:
     out: dict[str, str] = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
-        if colon:
+        if colon and name.strip() == "X-Escaped":
+            out[value.strip()] = unquote(out.get(value.strip(), ""))
+        elif colon:
             out[name.strip()] = value.strip()
     return out
 
@@ -254,7 +276,7 @@ class _Done(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Takes (page_id, url, record_type, refers_to, digest, payload) rows."""
+    """Takes (page_id, url, record_type, refers_to, refers_url, digest, payload) rows."""
 
     def __init__(self, options: dict):
         self.folder = _uri(options["path"])
@@ -267,11 +289,13 @@ class _Writer(DataSourceArrowWriter):
         out, name, size = None, "", 0
         try:
             for batch in iterator:
-                for page_id, url, kind, refers_to, own, payload in zip(*(batch.column(c) for c in ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload")), strict=True):
+                columns = (batch.column(c) for c in ("page_id", "url", "record_type", "refers_to", "refers_url", "payload_digest", "payload"))
+                for page_id, url, kind, refers_to, refers_url, own, payload in zip(*columns, strict=True):
                     if out is None:
                         name, size = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
-                    member = gzip_member(record(page_id.as_py(), url.as_py(), kind.as_py(), payload.as_py() or b"", refers_to.as_py(), payload_digest=own.as_py()))
+                    made = record(page_id.as_py(), url.as_py(), kind.as_py(), payload.as_py() or b"", refers_to.as_py(), payload_digest=own.as_py(), archive_name=root, refers_url=refers_url.as_py())
+                    member = gzip_member(made)
                     out.write(member)
                     size += len(member)
                     if size >= self.rotate:
@@ -326,9 +350,9 @@ def archive(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     payload = F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b""))
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     marked = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    equals = marked.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n"))
+    equals = marked.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.max("page_id").alias("largest"), F.max_by("url", "page_id").alias("their_url"), F.count(F.lit(1)).alias("n"))
     # only digests that occur twice are joined; their table is written first, so that its true size decides how
-    repeated = materialize(equals.where("n > 1 and largest is not null").select(F.col("sha").alias("k"), F.col("bytes").alias("b"), "largest"), "repeated")
+    repeated = materialize(equals.where("n > 1 and largest is not null").select(F.col("sha").alias("k"), F.col("bytes").alias("b"), "largest", "their_url"), "repeated")
     named = marked.join(repeated, (F.col("sha") == F.col("k")) & (F.col("bytes") == F.col("b")), "left")
     again = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     named.select(
@@ -336,9 +360,11 @@ def archive(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         "url",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("largest")).alias("refers_to"),
+        F.when(again, F.col("their_url")).alias("refers_url"),
         F.lit(None).cast("string").alias("payload_digest"),
         "payload",
     ).write.format(FORMAT).mode("append").save(folder)
+    discard(repeated)
 
 
 def read_archive(spark: SparkSession, folder: str, payload: bool = True, types: tuple[str, ...] = ()) -> DataFrame:
@@ -351,7 +377,8 @@ def read_archive(spark: SparkSession, folder: str, payload: bool = True, types:
 def round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write ``df`` to new archives in the shared folder and return what the records say when read back.
 
-    A response's length and digest come from its payload as read, a revisit's from its header.
+    A response's length and digest come from its payload as read, a revisit's from its header. The record type is pushed into the
+    reader: one pass decodes the payloads of responses only, the other reads the headers of revisits and no payload.
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/skein-warc-{uuid.uuid4().hex}"
@@ -364,7 +391,9 @@ def round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
             own = [d if p is None else digest(p) for p, d in zip(bodies, batch.column("payload_digest").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(sizes, pa.int64()), pa.array(own, pa.string()), batch.column("record_type"), batch.column("refers_to")], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    back = read_archive(spark, folder).select("page_id", "payload_length", "payload_digest", "record_type", "refers_to", "payload")
+    columns = ("page_id", "payload_length", "payload_digest", "record_type", "refers_to", "payload")
+    back = read_archive(spark, folder).where("record_type = 'response'").select(*columns)
+    back = back.unionAll(read_archive(spark, folder, payload=False).where("record_type = 'revisit'").select(*columns))
     return back.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long").withColumnRenamed("page_id", id_col)
 
 
