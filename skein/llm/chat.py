@@ -3,7 +3,8 @@
 Each turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``. For a batch of turns, sorted by conversation, the lengths
 of header, text and tail are taken from Arrow's offsets, cumulated to the place of each segment in the output, and
 turned into scatter indices with numpy; header and text bytes are then copied into one preallocated buffer, which
-becomes an Arrow string array without another copy. The loss mask is the list of (start, end) in code points
+becomes an Arrow string array without another copy. Indices are made for ``SCATTER_BYTES`` at a time and conversations are formatted
+``GROUP_BYTES`` at a time, so that memory beyond the texts is bounded. The loss mask is the list of (start, end) in code points
 of the assistant's texts.
 
 Control strings inside roles and texts get a backslash after their first character, and backslashes are doubled; a
@@ -11,7 +12,7 @@ line feed in a role is written as backslash and n. ``parse`` undoes this, so eve
 
 Null texts and roles count as empty. Turns are ordered by turn (null first), then role and text; repeated rows repeat
 a turn. Rows with a null conversation id form one conversation. A conversation is one output value, so its turns
-meet in one task, streamed in Arrow batches. Other columns are ignored; an empty table gives no rows.
+meet in one task, streamed in Arrow batches; one over ``MOST_BYTES``, more than a string can hold, is an error that names it. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import cuts
+
+#: Bytes that get scatter indices at once; of conversations that are formatted at once; of one formatted conversation at most.
+SCATTER_BYTES, GROUP_BYTES, MOST_BYTES = 1 << 20, 32 << 20, (1 << 31) - 1
 #: Strings that mark turns here or in other common templates. Fixed values.
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 START, END = "<|im_start|>", "<|im_end|>"
@@ -68,8 +73,13 @@ def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _scatter(out: np.ndarray, raw: np.ndarray, lengths: np.ndarray, to: np.ndarray) -> None:
     """Copy segments of ``raw`` to the places ``to`` of ``out``."""
-    first = np.cumsum(lengths) - lengths
-    out[np.repeat(to - first, lengths) + np.arange(len(raw))] = raw
+    ends = np.cumsum(lengths)
+    for i, j in cuts(lengths, SCATTER_BYTES):
+        first, end = int(ends[i] - lengths[i]), int(ends[j - 1])
+        if j == i + 1:
+            out[to[i] : to[i] + lengths[i]] = raw[first:end]
+        else:
+            out[np.repeat(to[i:j] - (ends[i:j] - lengths[i:j]), lengths[i:j]) + np.arange(first, end)] = raw[first:end]
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,20 +102,39 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, turn_len, head_chars + text_chars + len(tail), head_chars
 
 
+def _starts(ids: pa.Array) -> np.ndarray:
+    """The rows at which a conversation begins, and the number of rows."""
+    change = np.ones(len(ids) + 1, bool)
+    values, null = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_null(ids).to_numpy(zero_copy_only=False)
+    change[1:-1] = (values[1:] != values[:-1]) | (null[1:] != null[:-1])
+    return np.flatnonzero(change)
+
+
+def _groups(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Format whole conversations, sorted by conv_id, GROUP_BYTES at a time."""
+    length = lambda c: pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(np.concatenate([[0], *(length(b.column(1)) + length(b.column(2)) for b in held)]), dtype=np.int64)
+    rows = pa.Table.from_batches(held)
+    bounds = _starts(rows.column("conv_id").combine_chunks())
+    for i, j in cuts(np.diff(total[bounds]), GROUP_BYTES):
+        part = rows.slice(bounds[i], bounds[j] - bounds[i])
+        if total[bounds[j]] - total[bounds[i]] > MOST_BYTES:
+            raise ValueError(f"conversation {part.column('conv_id')[0]} is longer than {MOST_BYTES} bytes")
+        yield _format(part)
+
+
 def _format(rows: pa.Table) -> pa.RecordBatch:
     """Format the whole conversations in ``rows``, sorted by conv_id."""
     ids = rows.column("conv_id").combine_chunks()
     roles, texts = rows.column("role").combine_chunks(), rows.column("text").combine_chunks()
     out, turn_bytes, turn_chars, text_at = assemble(roles, texts)
-    n = len(ids)
-    change = np.ones(n, bool)
-    values, null = pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False)
-    change[1:] = (values[1:] != values[:-1]) | (null[1:] != null[:-1])
-    first = np.flatnonzero(change)
-    conv = np.cumsum(change) - 1
-    ends = np.concatenate([np.cumsum(turn_bytes), [0]])
-    offsets = np.concatenate([[0], ends[np.append(first[1:], n) - 1]]).astype(np.int32)
-    formatted = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out))
+    bounds = _starts(ids)
+    first, turns = bounds[:-1], np.diff(bounds)
+    conv = np.repeat(np.arange(len(first)), turns)
+    ends = np.concatenate([[0], np.cumsum(turn_bytes)])
+    if len(out) > MOST_BYTES:
+        raise ValueError(f"conversation {ids[0]} is longer than {MOST_BYTES} bytes when formatted")
+    formatted = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends[bounds].astype(np.int32)), pa.py_buffer(out))
     char_end = np.cumsum(turn_chars)
     char_at = char_end - turn_chars
     char_at -= char_at[first][conv]
@@ -115,7 +144,6 @@ def _format(rows: pa.Table) -> pa.RecordBatch:
     spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
     counts = np.bincount(conv[learnt], minlength=len(first))
     loss = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), spans)
-    turns = np.diff(np.append(first, n))
     return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(turns, pa.int64()), formatted, loss], schema=_ARROW)
 
 
@@ -133,14 +161,14 @@ def format_chats(df: DataFrame) -> DataFrame:
             same = pc.fill_null(pc.equal(ids, ids[-1]), False) if ids[-1].is_valid else pc.is_null(ids)
             cut = batch.num_rows - same.to_numpy(zero_copy_only=False)[::-1].cumprod().sum().item()
             if held and held[-1].column(0)[-1] != ids[0]:
-                yield _format(pa.Table.from_batches(held))
+                yield from _groups(held)
                 held = []
             if cut:
-                yield _format(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield from _groups([*held, batch.slice(0, cut)])
                 held, batch = [], batch.slice(cut)
             held.append(batch)
         if held:
-            yield _format(pa.Table.from_batches(held))
+            yield from _groups(held)
 
     return rows.mapInArrow(run, _SCHEMA)
 
@@ -151,7 +179,7 @@ def chat_digest(formatted: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows = []
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 turns = parse(r["formatted"])
                 learnt = "".join(unescape(r["formatted"][s["start"] : s["end"]]) for s in r["loss"])
                 whole = "".join(f"{role}\n{text}\n" for role, text in turns)

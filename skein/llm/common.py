@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +27,17 @@ def batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterat
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each piece's ``column`` holds about ``most`` bytes of text; a longer text stands alone."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
+def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cut rows of the given sizes into runs (start, end) of about ``most`` in total; a larger row stands alone."""
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
         if total and total + n > most:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
+            yield start, i
+            start = i
+            total = 0
         total += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def whole_groups(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
