@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import materialize
+from skein.session import discard, materialize
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -112,7 +112,8 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     inside = texts.join(holders, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi").dropDuplicates(["doc", "text_hash"])
     spread = windows.select(F.col("doc").alias("d"), F.col("text_hash").alias("t"), F.col("size").alias("s"), "length", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("words") - F.col("size"))).alias("q"))
     by_place = F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("p") == F.col("q")) & (F.col("size") == F.col("s"))
-    content = materialize(shingles(inside).join(spread, by_place).select("doc", "text_hash", "size", "length", "start", "h"), "content")
+    # the planner sees the size of the windows, not of their places, so it must not choose to broadcast them
+    content = materialize(shingles(inside).join(spread.hint("merge"), by_place).select("doc", "text_hash", "size", "length", "start", "h"), "content")
 
     window_fp = _fingerprints(content, "doc", "text_hash", "size", "length", "start")
     item_fp = _fingerprints(items, "item", "size", "length")
@@ -130,7 +131,10 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     shared = pair.join(item_weights, F.col("item").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")))
     scored = shared.groupBy("doc", "text_hash", "item", "start", "length", "total", "item_total").agg(F.sum(F.least("w", "v")).alias("both"))
     similarity = F.col("both") / (F.col("total") + F.col("item_total") - F.col("both"))
-    return scored.select("doc", "text_hash", "item", "start", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    scored = scored.select("doc", "text_hash", "item", "start", similarity.alias("similarity"))
+    out = materialize(scored.where(F.col("similarity") >= threshold), "matches")
+    discard(items, known, hits, windows, holders, content)
+    return out
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -144,5 +148,25 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """The rows of ``df`` without those whose text holds a benchmark item."""
     found = matches(df, benchmark, id_col, text_col, item_id, item_text, threshold)
     away = materialize(found.select(F.col("doc").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "away")
+    discard(found)
     own = F.xxhash64(F.col(text_col).cast("string"), F.octet_length(F.col(text_col).cast("string")))
     return df.join(away, F.col(id_col).eqNullSafe(F.col("_d")) & (own == F.col("_t")), "left_anti")
+
+
+#: The query's rows, for DuckDB: every window that shares a shingle with an item is compared on words, without fingerprints.
+ORACLE = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0),
+ig AS (SELECT item_id, n, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, n - k + 2)) AS p FROM i)),
+iv AS (SELECT item_id, n, k, g, count(*) AS v FROM ig GROUP BY ALL),
+dg AS (SELECT doc_id, len(w) AS m, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i))),
+hits AS (SELECT DISTINCT doc_id, m, item_id, n, k, p FROM dg JOIN iv USING (k, g)),
+win AS (
+  SELECT DISTINCT doc_id, item_id, n, k, least(m, n) AS l, unnest(range(greatest(1, p + k - least(m, n)), least(p, m - least(m, n) + 1) + 1)) AS s FROM hits),
+wv AS (
+  SELECT win.doc_id, item_id, n, win.k, l, s, g, count(*) AS u FROM win JOIN dg ON dg.doc_id = win.doc_id AND dg.k = win.k AND p BETWEEN s AND s + l - win.k
+  GROUP BY ALL),
+both_ AS (SELECT doc_id, item_id, s, l - k + 1 + n - k + 1 AS total, sum(least(u, v)) AS shared FROM wv JOIN iv USING (item_id, n, k, g) GROUP BY doc_id, item_id, s, l, k, n),
+scored AS (SELECT doc_id, item_id, s - 1 AS start, CAST(shared AS DOUBLE) / CAST(total - shared AS DOUBLE) AS similarity FROM both_)
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_min(start, {'a': -similarity, 'b': start}) AS INTEGER) AS start FROM scored WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""

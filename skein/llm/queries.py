@@ -31,9 +31,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLE: dict[str, str] = {"op5_embeddings": embeddings.ORACLE, "op6_lines": lines.ORACLE, "op8_chat": chat.ORACLE, "op10_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op5_embeddings": embeddings.ORACLE, "op6_lines": lines.ORACLE, "op8_chat": chat.ORACLE, "op10_warc": warc.ORACLE}

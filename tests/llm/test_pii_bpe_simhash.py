@@ -48,6 +48,20 @@ def test_spans_and_their_extras():
     assert "[EMAIL]" in pii.redact(text, pii.find(text)) and pii.redact(None, []) is None
 
 
+def test_repeated_cues_take_linear_time():
+    import time
+
+    for piece in ("token=", "IBAN ", "a@", "1.", "+1(", "://", "x://a.b/", "1-", "secret: ", "a.b@c."):
+        text = piece * (2_000_000 // len(piece))
+        began = time.process_time()
+        found = pii.find(text)
+        assert time.process_time() - began < 60, piece
+        for kind in pii.KINDS:
+            own = [s for s in found if s[2] == kind]
+            assert all(a[1] <= b[0] for a, b in zip(own, own[1:], strict=False)), (piece, kind)
+    assert [k for *_, k in pii.find("token=" * 100_000)] == ["secret"]
+
+
 def test_pii_rows(spark):
     rows = [(1, None, "x", 1, "y", 2), (2, "", None, None, None, None), (None, "a@b.cd", "x", 1, "y", 2), (3, "x " * 200000 + "a@b.cd", "x", 1, "y", 2), (3, "q@r.st", "x", 1, "y", 2), (3, "q@r.st", "x", 1, "y", 2)]
     got = pii.pii_digest(pii.find_pii(spark.createDataFrame(rows, SCHEMA))).collect()
@@ -83,6 +97,33 @@ def test_bpe_is_the_librarys(spark, tok):
         assert back[i].text == t.decode(want, skip_special_tokens=False)
         assert back[i].n_tokens == len(want) and back[i].ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
     assert bpe.decode(bpe.encode(spark.createDataFrame([], SCHEMA), path), path).count() == 0
+    both = {r.doc_id: r for r in bpe.round_trip(spark.createDataFrame(rows, SCHEMA), path).collect()}
+    assert all((both[i].n_tokens, both[i].ids_sha256, both[i].decoded_sha256) == (b.n_tokens, b.ids_sha256, hashlib.sha256(b.text.encode()).hexdigest()) for i, b in back.items())
+    assert len(both) == len(back) and bpe.round_trip(spark.createDataFrame([], SCHEMA), path).count() == 0
+
+
+def test_slices_and_emptied_tables_change_nothing(tok, monkeypatch):
+    import pyarrow as pa
+
+    path, _ = tok
+    lists = [["The", " the"], [], [" the", " cat", " sat"] * 5, [], ["x" * 300], [" The"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(lists, pa.list_(pa.string()))], ["id", "words"])
+    whole = [(rows.to_pylist(), np.split(ids, bounds[1:-1])) for rows, ids, bounds in bpe._encoded([batch, batch.slice(2)], path)]
+    flat = lambda parts: [(i, x.tolist()) for rows, own in parts for i, x in zip(rows, own, strict=True)]
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 4)
+    monkeypatch.setattr(bpe, "TABLE_WORDS", 1)
+    again = [(rows.to_pylist(), np.split(ids, bounds[1:-1])) for rows, ids, bounds in bpe._encoded([batch, batch.slice(2)], path)]
+    assert len(again) > len(whole) and flat(again) == flat(whole)
+
+
+def test_odd_added_tokens_are_refused(tok, tmp_path):
+    import json
+
+    spec = json.loads(open(tok[0], encoding="utf-8").read())
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="added tokens"):
+        bpe.Vocabulary(str(tmp_path / "t.json"))
 
 
 def test_every_piece_is_its_own_id(tok):
