@@ -5,7 +5,6 @@ Every stage works on all rows that its predecessor kept, and its decisions take
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from skein.llm import bpe, decontaminate, lines, quality, simhash
 from skein.llm.common import table
 from skein.llm.queries import tokenizer_path
-from skein.session import shared_dir
+from skein.session import discard, materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's ids, their number, and what they decode to."""
-    path = tokenizer_path()
-    encoded = bpe.encode(docs, path)
-    out = bpe.decode(encoded, path)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, tokenizer_path())
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -63,9 +59,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's table is deleted once the next one is written; an empty table passes all stages."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(path)
+    for name, stage in STAGES:
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
