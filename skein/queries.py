@@ -714,7 +714,7 @@ def g_lcs(spark, d):
     rows = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("common", lcs("n_name", "r_name"))
     # the letters in order with anything between: there may be several longest ones
     within = F.array_join(F.split("common", ""), ".*")
-    return rows.select("n_name", "r_name", F.length("common").cast("long").alias("length"), F.col("n_name").rlike(within).alias("in_nation"), F.col("r_name").rlike(within).alias("in_region"))
+    return rows.select("n_name", "r_name", F.length("common").cast("long").alias("length"), F.rlike("n_name", within).alias("in_nation"), F.rlike("r_name", within).alias("in_region"))
 
 
 _SORTED = "s AS (SELECT CAST(n_nationkey AS BIGINT) AS row, list_transform(list_sort(list_transform(range(0, len(n_name) + 1), lambda i: {'s': substr(n_name, CAST(i + 1 AS BIGINT)), 'i': i})), lambda x: x.i) AS v FROM nation)"
