@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from skein.llm.common import cuts
 
 #: Words that a task's table holds at most before it is emptied.
-TABLE_WORDS = 1 << 18
+TABLE_WORDS = 1 << 17
 #: Bytes of words that are encoded at once; a longer text is encoded alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: White space as Unicode has it, spelt out because Java's \s means ASCII only.
 _WS = r"\t-\r\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
