@@ -139,7 +139,8 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     homes = _placed(fps, 0, "a")
     around = _placed(fps, threshold, "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return homes.join(around, (homes["anchor"] == around["anchor"]) & near).select("a", "b")
+    # merged, never broadcast: Spark takes a table of anchors for as small as the fingerprints, of which it has dozens of rows each
+    return homes.hint("merge").join(around.hint("merge"), (homes["anchor"] == around["anchor"]) & near).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2) -> DataFrame:

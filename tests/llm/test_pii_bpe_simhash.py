@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skein.llm import bpe, pii, simhash
 
@@ -183,3 +184,12 @@ def test_near_duplicates_against_all_pairs(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     kept = simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(str(k.doc_id) for k in kept if k.doc_id is not None) == sorted(str(i) for i, f in fps if i is not None and comp[f] == i)
+
+
+def test_anchors_are_never_broadcast(spark):
+    # few fingerprints look small to the planner, but each has dozens of anchors, which would all meet in the driver
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    twins = fps.limit(20).select(F.col("fp").bitwiseXOR(F.lit(5)).alias("fp"))
+    found = simhash.links(fps.unionAll(twins))
+    assert len(found.collect()) == 20
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
