@@ -175,3 +175,19 @@ def test_empty_and_lone(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], kind)).count() == 0
     got = embeddings.near_duplicates(spark.createDataFrame([(7, [1.0, 0.0], 1), (8, None, 1)], kind)).collect()
     assert sorted(map(tuple, got)) == [(7, 0, 7, True), (8, 0, 8, True)]
+
+
+def test_wide_lines_are_gone_before_pairs_are_made(spark, monkeypatch):
+    from pathlib import Path
+
+    from skein.session import shared_dir
+
+    def there():
+        return {p.name.split("-")[1] for p in Path(shared_dir(spark).removeprefix("file://")).glob("skein-*")}
+
+    before, seen, own = there(), [], lines._open_pairs
+    monkeypatch.setattr(lines, "_open_pairs", lambda *a: seen.append(there() - before) or own(*a))
+    rows = documents(4, 20)
+    got = lines.dedup_lines(spark.createDataFrame([(*x, 1, "k", 2) for x in rows], SCHEMA)).collect()
+    assert sum(g._removed for g in got) == len(slow_lines(rows))
+    assert "lines" not in seen[0] and "leader" not in seen[0] and "stands" in seen[0]
