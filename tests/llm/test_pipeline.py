@@ -61,3 +61,17 @@ def test_against_brute_force(spark, tmp_path):
     want = sorted((i, len(ids := t.encode(x, add_special_tokens=False).ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(x.encode()).hexdigest()) for i, x in single if i not in bad)
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == want
+
+
+def test_third_stage_does_not_broadcast_anchors(spark, monkeypatch):
+    plans, own = [], simhash.star_components
+
+    def seen(edges, *names):
+        edges.collect()
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return own(edges, *names)
+
+    monkeypatch.setattr(simhash, "star_components", seen)
+    docs = spark.createDataFrame([(i, f"some words {i // 2} of text {i // 2}") for i in range(40)], "doc_id long, text string")
+    assert corpus_pipeline.simhash_near_dedup(spark, docs, "").count() == 20
+    assert len(plans) == 1 and "BroadcastHashJoin" not in plans[0]
