@@ -46,20 +46,32 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+def _spec(path: str) -> dict:
+    """The tokenizer file, refused if its method isn't the one of this module."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec["pre_tokenizer"] or {}
+    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+        raise ValueError("a byte-level BPE without normalizer and prefix space is needed")
+    odd = [t["content"] for t in spec.get("added_tokens") or [] if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
+    if odd:
+        raise ValueError(f"added tokens that strip, normalize or need word boundaries aren't supported: {odd}")
+    return spec
+
+
+@lru_cache(maxsize=2)
+def special_tokens(path: str) -> tuple[str, ...]:
+    """All that the driver needs of the file; tables of its vocabulary are only made in the workers."""
+    return tuple(t["content"] for t in _spec(path).get("added_tokens") or [])
+
+
 class Vocabulary:
     """A byte-level BPE read from a tokenizers JSON file: ids of a word, and the bytes of an id."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = _spec(path)
         model = spec["model"]
-        pre = spec["pre_tokenizer"] or {}
-        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
-            raise ValueError("a byte-level BPE without normalizer and prefix space is needed")
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
-        odd = [t["content"] for t in spec.get("added_tokens") or [] if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
-        if odd:
-            raise ValueError(f"added tokens that strip, normalize or need word boundaries aren't supported: {odd}")
         self.chars = byte_chars()
         back = {c: b for b, c in enumerate(self.chars)}
         vocab = {k: v for k, v in model["vocab"].items() if k not in self.special}
@@ -163,7 +175,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _worded(df: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), words_of(F.col(text_col), list(vocabulary(path).special)).alias("words"))
+    return df.select(F.col(id_col).alias("id"), words_of(F.col(text_col), list(special_tokens(path))).alias("words"))
 
 
 def _encoded(it: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:

@@ -82,15 +82,17 @@ def terms(text: str | None) -> np.ndarray:
 
 
 class Model:
-    """Projection, labelled vectors and labels; small and of bounded size."""
+    """Projection, labelled vectors and labels; small and of bounded size. ``own``: the rows may be overwritten."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray):
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, own: bool = False):
         self.labels = labels.astype(np.float32)
         alike = self.labels[~rows.any(1)] if len(rows) else self.labels
         self.blank = float((alike if len(alike) else self.labels).mean()) if len(rows) else 0.5
         n = max(1, len(rows))
         self.idf = (np.log((1 + n) / (1 + (rows > 0).sum(0))) + 0.3).astype(np.float32) * _FAMILY
-        weighted = self._unit(rows * self.idf)
+        weighted = np.multiply(rows, self.idf, out=rows if own else None)
+        for at in range(0, len(weighted), _ROWS):
+            weighted[at : at + _ROWS] = self._unit(weighted[at : at + _ROWS])
         rank = min(RANK, *weighted.shape) if len(rows) else 0
         if rank:
             rng = np.random.default_rng(0)
@@ -141,10 +143,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     got = batches(rows, run, "terms binary, label int").toArrow() if picked else None
     if got is None or not got.num_rows:
         return Model(np.empty((0, TERMS), np.float32), np.empty(0))
-    made = np.stack([np.frombuffer(t.as_buffer(), np.float16) for t in got.column("terms")]).astype(np.float32)
+    # one array of floats is all that the driver holds beside the rows as they came
+    found = [np.frombuffer(t.as_buffer(), np.float16) for t in got.column("terms")]
     labels_ = got.column("label").to_numpy()
-    order = np.lexsort((*made.T[:3], labels_))
-    return Model(made[order], labels_[order])
+    order = np.lexsort((*np.array([f[:3] for f in found], np.float32).T, labels_))
+    made = np.empty((len(found), TERMS), np.float32)
+    for i, n in enumerate(order.tolist()):
+        made[i] = found[n]
+    del found, got
+    return Model(made, labels_[order], own=True)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,3 +75,44 @@ def test_third_stage_does_not_broadcast_anchors(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"some words {i // 2} of text {i // 2}") for i in range(40)], "doc_id long, text string")
     assert corpus_pipeline.simhash_near_dedup(spark, docs, "").count() == 20
     assert len(plans) == 1 and "BroadcastHashJoin" not in plans[0]
+
+
+def test_driver_collects_its_garbage_before_tables_are_written(spark, monkeypatch):
+    from skein import session
+
+    full = lambda: list(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())[-1].getCollectionCount()
+    monkeypatch.setattr(session, "HEAP_SHARE", 0.0)
+    before = full()
+    session.discard(session.materialize(spark.range(3)))
+    assert full() > before
+    monkeypatch.setattr(session, "HEAP_SHARE", 1.0)
+    assert not session.collect_garbage(spark)
+
+
+def test_driver_holds_one_array_of_labelled_terms():
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = (r.random((3000, quality.TERMS), np.float32) * (r.random((3000, quality.TERMS), np.float32) < 0.2)).astype(np.float32)
+    labels, size = np.arange(3000) % 2, rows.nbytes
+    plain = quality.Model(rows, labels)
+    tracemalloc.start()
+    try:
+        lean = quality.Model(rows, labels, own=True)
+        assert tracemalloc.get_traced_memory()[1] < size / 2
+    finally:
+        tracemalloc.stop()
+    assert all(np.array_equal(getattr(plain, k), getattr(lean, k)) for k in ("idf", "project", "vectors"))
+
+
+def test_driver_makes_no_vocabulary(spark, monkeypatch):
+    from skein.llm import bpe
+
+    def made(path):
+        raise AssertionError("a table of the vocabulary on the driver")
+
+    monkeypatch.setattr(bpe, "vocabulary", made)
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    assert corpus_pipeline.bpe_encoding(spark, docs, "").columns[0] == "doc_id"
