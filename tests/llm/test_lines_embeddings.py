@@ -191,3 +191,17 @@ def test_wide_lines_are_gone_before_pairs_are_made(spark, monkeypatch):
     got = lines.dedup_lines(spark.createDataFrame([(*x, 1, "k", 2) for x in rows], SCHEMA)).collect()
     assert sum(g._removed for g in got) == len(slow_lines(rows))
     assert "lines" not in seen[0] and "leader" not in seen[0] and "stands" in seen[0]
+
+
+def test_bands_are_counted_over_some_rows_and_change_nothing(spark, monkeypatch):
+    rows = documents(4)
+    df = spark.createDataFrame([(*x, 1, "k", 2) for x in rows], SCHEMA).localCheckpoint()
+    key = lambda d: sorted((r.doc_id, r.text) for r in d.collect())
+    some = lines._bands(df, "doc_id", "text")
+    monkeypatch.setattr(lines, "COUNTED", 1)
+    every = lines._bands(df, "doc_id", "text")
+    total = lambda b: sum(2 ** (x / 2) for x in df.limit(1).select(b.alias("b")).first().b if x)
+    assert 0 < total(some) < total(every) / 3
+    whole = key(lines.dedup_lines(df))
+    monkeypatch.setattr(lines, "COUNTED", 8)
+    assert key(lines.dedup_lines(df)) == whole
