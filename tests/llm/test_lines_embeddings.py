@@ -94,6 +94,21 @@ def test_joins_by_shuffle_and_long_lines_change_nothing(spark, monkeypatch):
     assert got == {d: sum(a == i for a, _ in gone) for i, (d, _) in enumerate(rows)} and max(got[d] for d in got if d >= 200)
 
 
+@pytest.mark.parametrize("size", [5, 40])
+def test_only_large_groups_have_leaders_and_words_are_made_once(spark, monkeypatch, size):
+    seen, own = [], lines._leader_pairs
+    monkeypatch.setattr(lines, "_leader_pairs", lambda *a: seen.append(own(*a)) or seen.append(seen[0].count()) or seen[0])
+    filters, write = [], lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, name: (name == "similar" and filters.append(df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    base = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join([*base[: i % 20], f"x{i}", *base[i % 20 + 1 :]])) for i in range(size)]
+    got = {r.doc_id: r._removed for r in lines.dedup_lines(spark.createDataFrame([(*x, 1, "k", 2) for x in rows], SCHEMA)).collect()}
+    gone = slow_lines(rows)
+    assert got == {d: sum(a == i for a, _ in gone) for i, (d, _) in enumerate(rows)} and sum(got.values())
+    assert (seen[1] > 0) == (size > 16)
+    assert filters and all(p.count("array_intersect") <= 1 and "lower" not in p for p in filters)
+
+
 # --- operator 5
 
 
