@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
 from skein.plans.ranking import dense_ids
+from skein.plans.triangles import triangle_rows
+from skein.session import materialize
 
 _IDS = (ByteType, ShortType, IntegerType, LongType)
 _WEIGHTS = (*_IDS, FloatType, DoubleType)
@@ -75,7 +77,7 @@ class Graph:
 
     def _set(self, edges: DataFrame, no_self_loops: bool) -> Graph:
         self._edges = (edges.where("src <> dst") if no_self_loops else edges).persist()
-        for name in ("n_vertices", "n_edges", "_loops", "_vertices", "_ranked"):
+        for name in ("n_vertices", "n_edges", "_loops", "_vertices", "_ranked", "corners"):
             self.__dict__.pop(name, None)
         return self
 
@@ -187,6 +189,14 @@ class DiGraph(Graph):
     def _vertices(self) -> DataFrame:
         return self._edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
+    @cached_property
+    def corners(self) -> DataFrame:
+        """(x, y, z, xy, xz, yz): every three vertices that are joined whatever the direction, once, and how each two of them are:
+        1 for an edge from the smaller id to the larger one, 2 for one back, 3 for both."""
+        bit = F.when(F.col("src") < F.col("dst"), 1).otherwise(2).cast("byte")
+        pairs = self._edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), bit.alias("bits"))
+        return materialize(triangle_rows(pairs.groupBy("src", "dst").agg(F.bit_or("bits").alias("bits"))), "corners")
+
     @cached_property
     def n_edges(self) -> int:
         return self._edges.count()

@@ -3,11 +3,15 @@
 The order of the pattern's edges is chosen here, with what the pattern's shape or the host's attribute frequencies tell; each
 join binds at most one new vertex, so every step is an equi-join with filters for injectivity, or a semi-join for
 an edge whose ends are bound. Induced matching adds anti-joins for the pattern's missing edges as soon as both ends are bound.
+A pattern without attributes in which three vertices are joined starts from the host's list of such threes instead, so that no
+path of two edges becomes a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,10 +71,10 @@ def _equal(values: dict, names: list[str]) -> Column:
     return out
 
 
-def join_order(edges: list[tuple[int, int]], cost: dict[int, float]) -> list[tuple[int, int]]:
-    """Edges in join order: from the cheapest vertex on, edges that close a cycle first, then those to the cheapest vertex."""
+def join_order(edges: list[tuple[int, int]], cost: dict[int, float], bound: Iterable[int] = ()) -> list[tuple[int, int]]:
+    """Edges in join order: from ``bound`` or the cheapest vertex on, edges that close a cycle first, then those to the cheapest vertex."""
     left = set(edges)
-    bound: set[int] = set()
+    bound = set(bound)
     out: list[tuple[int, int]] = []
     while left:
         closing = [e for e in left if e[0] in bound and e[1] in bound]
@@ -85,6 +89,32 @@ def join_order(edges: list[tuple[int, int]], cost: dict[int, float]) -> list[tup
     return out
 
 
+def _three(edges: list[tuple[int, int]], cost: dict[int, float]) -> tuple[int, ...] | None:
+    """Three vertices that are joined each with each, those with the most edges first, then the cheapest."""
+    joined = {frozenset(e) for e in edges}
+    vertices = sorted({v for e in edges for v in e})
+    found = [t for t in combinations(vertices, 3) if all(frozenset(p) in joined for p in combinations(t, 2))]
+    return min(found, key=lambda t: (-sum(e[0] in t and e[1] in t for e in edges), sum(cost[v] for v in t), t), default=None)
+
+
+def _placed(corners: DataFrame, three: tuple[int, ...], known: set[tuple[int, int]], induced: bool) -> DataFrame:
+    """(v<id>…): every way to put the pattern's vertices ``three`` on three joined vertices of the host."""
+
+    def there(a: str, b: str) -> Column:
+        return F.col("".join(sorted((a, b)))).bitwiseAND(F.when(F.col(a) < F.col(b), 1).otherwise(2)) != 0
+
+    ways = []
+    for places in permutations("xyz"):
+        at, fits = dict(zip(three, places, strict=True)), F.lit(True)
+        for a, b in permutations(three, 2):
+            if (a, b) in known:
+                fits &= there(at[a], at[b])
+            elif induced:
+                fits &= ~there(at[a], at[b])
+        ways.append(F.struct(fits.alias("fits"), *(F.col(at[v]).alias(f"v{v}") for v in three)))
+    return corners.select(F.explode(F.filter(F.array(*ways), lambda w: w["fits"])).alias("w")).select(*(f"w.v{v}" for v in three))
+
+
 def compile_pattern(host: DiGraph, pattern: Pattern, induced: bool, reorder_type: str = "structural") -> DataFrame:
     """One row per match; column ``v<id>`` is the host vertex of the pattern's vertex <id>."""
     if not host.directed:
@@ -128,7 +158,11 @@ def compile_pattern(host: DiGraph, pattern: Pattern, induced: bool, reorder_type
                     rows = rows.join(plain, (F.col(name(a)) == F.col("src")) & (F.col(name(b)) == F.col("dst")), "left_anti")
         return rows
 
-    for a, b in join_order(pattern.edges, cost):
+    three = None if edge_names or vertex_names or not possible else _three(pattern.edges, cost)
+    if three:
+        found = _placed(host.corners, three, known, induced)
+        bound += three
+    for a, b in join_order([e for e in pattern.edges if not set(e) <= set(bound)], cost, bound):
         rows = candidates((a, b))
         if found is None:
             found = rows.select(F.col("src").alias(name(a)), F.col("dst").alias(name(b)))
