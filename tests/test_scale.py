@@ -63,3 +63,21 @@ def test_triangles_make_no_row_for_each_path(spark):
     graph = Graph().add_edges_from(*map(list, zip(*((a, n + b) for a in range(n) for b in range(n)), strict=True)))
     found, rows = moved(spark, lambda: cohesion.count_triangles(graph))
     assert found == 0 and rows < 20_000
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.4])
+def test_jaccard_moves_lists_not_pairs(spark, threshold):
+    n = 120  # neighbours of each of 10 vertices, which makes 71,400 pairs
+    graph = Graph().add_edges_from(*map(list, zip(*((a, 1000 + b) for a in range(10) for b in range(n)), strict=True)))
+    found, rows = moved(spark, lambda: cohesion.jaccard(graph, threshold).count())
+    assert found == math.comb(n, 2) + math.comb(10, 2) and rows < 20_000
+
+
+def test_jaccard_file_is_compressed_and_reads_back(spark, tmp_path):
+    from skein.sources import files
+
+    graph = Graph().add_edges_from([1, 1, 2, 3, 3], [2, 3, 3, 4, 5])
+    want = cohesion.jaccard(graph)
+    files.write_jaccard(want, str(tmp_path / "j"))
+    assert not [p for p in (tmp_path / "j").iterdir() if p.name.startswith("part-") and not p.name.endswith(".gz")]
+    assert sorted(x.value for x in spark.read.text(str(tmp_path / "j")).collect()) == sorted(f"u={x.u},v={x.v},{x.jaccard}" for x in want.collect())
