@@ -81,3 +81,10 @@ def test_jaccard_file_is_compressed_and_reads_back(spark, tmp_path):
     files.write_jaccard(want, str(tmp_path / "j"))
     assert not [p for p in (tmp_path / "j").iterdir() if p.name.startswith("part-") and not p.name.endswith(".gz")]
     assert sorted(x.value for x in spark.read.text(str(tmp_path / "j")).collect()) == sorted(f"u={x.u},v={x.v},{x.jaccard}" for x in want.collect())
+
+
+def test_squares_move_lists_not_paths(spark):
+    n = 40
+    graph = Graph().add_edges_from(*map(list, zip(*((a, n + b) for a in range(n) for b in range(n)), strict=True)))
+    found, rows = moved(spark, lambda: cohesion.squares(graph))
+    assert found == math.comb(n, 2) ** 2 and rows < 25_000
