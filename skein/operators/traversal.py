@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.graph.core import Graph, undirected_only
 from skein.plans.components import star_components
+from skein.plans.ranking import dense_ids
 from skein.session import discard, materialize
 
 #: Levels that are kept as tables of their own before they are written together.
 _COMPACT = 8
 #: Vertices that a round of bounding searches from at either end, at least; rows of distances that a round writes, about, unless so few searches make more.
 _BATCH, _REACHED = 4, 20_000_000
+#: Components up to this size are searched as rows. Rounds of bounding, and the largest distance that these may have found, before the vertices
+#: that are left are searched as bits, if a task can hold the edges (both ways, 4 bytes each) of all large components.
+_TINY, _ROUNDS, _SHALLOW, _HELD = 64, 2, 64, 150_000_000
+#: 64-bit words of roots that are searched at once; words that a step gathers at once.
+_WORDS, _GATHERED = 16, 1 << 24
 
 
 def _levels(edges: DataFrame, seeds: DataFrame, keys: list[str], symmetric: bool) -> DataFrame:
@@ -77,14 +88,100 @@ class Diameter:
     exact: bool
 
 
+def farthest(starts: np.ndarray, near: np.ndarray, part: np.ndarray, roots: np.ndarray) -> int:
+    """The largest distance from any of ``roots``, in a graph whose vertex v has the neighbours near[starts[v]:starts[v + 1]].
+
+    Bit b of a vertex says that root b has reached it. A round takes each vertex's neighbours' bits; a vertex that all roots of
+    its component (``part``, a number from 0) have reached is done, so a search ends with the last vertex that is reached.
+    """
+    most, sizes = 0, np.diff(starts)
+    for at in range(0, len(roots), 64 * _WORDS):
+        block = roots[at : at + 64 * _WORDS]
+        bits = np.zeros((len(sizes), -(-len(block) // 64)), dtype=np.uint64)
+        word, bit = np.divmod(np.arange(len(block)), 64)
+        bits[block, word] = np.uint64(1) << bit.astype(np.uint64)
+        every = np.zeros((int(part.max()) + 1, bits.shape[1]), dtype=np.uint64)
+        np.bitwise_or.at(every, (part[block], word), np.uint64(1) << bit.astype(np.uint64))
+        depth = 0
+        while len(todo := np.flatnonzero((bits != every[part]).any(axis=1) & (sizes > 0))):
+            # as many vertices at a time as make _GATHERED words of neighbours, one at least
+            ends = np.cumsum(sizes[todo])
+            cuts = np.searchsorted(ends, np.arange(1, 1 + -(-ends[-1] * bits.shape[1] // _GATHERED)) * (_GATHERED // bits.shape[1]))
+            new = bits[todo]
+            for own in np.split(np.arange(len(todo)), np.unique(cuts[(cuts > 0) & (cuts < len(todo))])):
+                n = sizes[todo[own]]
+                first = np.cumsum(n) - n
+                places = np.repeat(starts[todo[own]] - first, n) + np.arange(n.sum())
+                new[own] |= np.bitwise_or.reduceat(bits[near[places]], first, axis=0)
+            if np.array_equal(new, bits[todo]):
+                break
+            bits[todo] = new
+            depth += 1
+        most = max(most, depth)
+    return most
+
+
+def _within_components(edges: DataFrame, vertices: DataFrame) -> int:
+    """The largest distance within the components of ``vertices`` (component_id, n, id), each in one task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, src = np.unique(rows["src"].to_numpy(), return_inverse=True)
+        order = np.argsort(src, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))])
+        near = np.searchsorted(ids, rows["dst"].to_numpy()[order])
+        return pd.DataFrame({"ecc": [farthest(starts, near, np.zeros(len(ids), dtype=int), np.arange(len(ids)))]})
+
+    own = vertices.select("component_id", F.col("id").alias("src")).join(edges, "src")
+    return own.groupBy("component_id").applyInPandas(run, "ecc long").agg(F.max("ecc")).first()[0] or 0
+
+
+def _searched(edges: DataFrame, vertices: DataFrame, roots: DataFrame) -> int:
+    """The largest distance from any of ``roots`` (w), in the components of ``vertices`` (component_id, id).
+
+    The roots are dealt out to the tasks; each holds all neighbour lists, 4 bytes an end of an edge.
+    """
+    ids = dense_ids(vertices.select("component_id", "id"), "component_id", "id", name="v").withColumn("v", F.col("v").cast("int"))
+    ids = materialize(ids, "numbered")
+    own, other = ids.select(F.col("id").alias("src"), F.col("v").alias("s")), ids.select(F.col("id").alias("dst"), F.col("v").alias("d"))
+    near = edges.join(own, "src").join(other, "dst").groupBy("s").agg(F.collect_list("d").alias("near"))
+    rows = ids.join(near, F.col("v") == F.col("s")).join(roots.select("w", F.lit(True).alias("root")), F.col("id") == F.col("w"), "left")
+    rows = materialize(rows.select("component_id", "v", F.coalesce("root", F.lit(False)).alias("root"), "near"), "near")
+    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, -(-roots.count() // (64 * _WORDS))))
+    # rows of one number go to one task; its number goes along
+    dealt = rows.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartitionById(tasks, "task")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for b in batches:
+            for task in pa.compute.unique(b["task"]).to_pylist():
+                x = b.filter(pa.compute.equal(b["task"], task))
+                lists = x["near"]
+                held.setdefault(task, []).append((x["v"].to_numpy(), x["component_id"].to_numpy(), x["root"].to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
+        for task, parts in held.items():
+            v, component, root, sizes, near = (np.concatenate(c) for c in zip(*parts, strict=True))
+            parts.clear()
+            row = np.empty(len(v), dtype=np.int32)  # the numbers are dense: where each vertex's list is
+            row[v] = np.arange(len(v), dtype=np.int32)
+            starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            chosen = np.flatnonzero(root)
+            chosen = chosen[np.argsort(v[chosen])]  # by component, so that a block has few of them
+            yield pa.RecordBatch.from_pydict({"ecc": pa.array([farthest(starts, row[near], np.unique(component, return_inverse=True)[1], chosen[task::tasks])], pa.int64())})
+
+    found = dealt.mapInArrow(run, "ecc long").agg(F.max("ecc")).first()[0] or 0
+    discard(ids, rows)
+    return found
+
+
 def _bounded(edges: DataFrame, vertices: DataFrame, least: int) -> int:
     """The largest eccentricity of ``vertices`` (component_id, n, id), whole components, or ``least`` if that is larger.
 
     A search from x bounds the eccentricity of every v at distance d between max(d, ecc(x) - d) and ecc(x) + d. Vertices
     whose upper bound is not above the largest distance found are done. Of the others, those with the largest upper and
-    those with the smallest lower bound are searched next, twice as many each round, until none is left.
+    those with the smallest lower bound are searched next, twice as many each round, until none is left. Where distances are short
+    and much alike, bounds leave most vertices; these are then searched as bits.
     """
     size = vertices.count()
+    held, rounds = None, 0
     left = materialize(vertices.select("component_id", F.col("id").alias("w"), F.lit(0).alias("low"), (F.col("n") - 1).cast("int").alias("high")), "bounds")
     roots = vertices.where("id = component_id").select(F.col("id").alias("v"))
     batch = _BATCH
@@ -101,6 +198,11 @@ def _bounded(edges: DataFrame, vertices: DataFrame, least: int) -> int:
         left = new
         if left.isEmpty():
             return least
+        rounds += 1
+        if rounds >= _ROUNDS and least <= _SHALLOW:
+            held = edges.join(vertices.select(F.col("id").alias("src")), "src", "left_semi").count() if held is None else held
+            if held <= _HELD:
+                return max(least, _searched(edges, vertices, left.select("w")))
         outer, inner = left.orderBy(F.desc("high"), "w").limit(batch), left.orderBy("low", "w").limit(batch)
         roots = outer.unionAll(inner).select(F.col("w").alias("v")).distinct()
         batch = max(_BATCH, min(2 * batch, _REACHED // size))
@@ -110,17 +212,20 @@ def diameter_of(graph: Graph, exact_limit: int = 2500) -> Diameter:
     """The largest distance within any component, exactly.
 
     Components of up to ``exact_limit`` vertices are searched from every vertex, all at once. Larger ones are searched
-    from chosen vertices until no other can be farther from any.
+    from chosen vertices until no other can be farther from any, or else from all that are left.
     """
     undirected_only(graph, "the diameter")
     found = materialize(component_ids(graph), "components")
     sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
     sized = materialize(found.join(sizes, "component_id"), "sized")
-    small = sized.where(F.col("n") <= exact_limit).select(F.col("id").alias("root"), F.col("id").alias("v"))
-    large = sized.where(F.col("n") > exact_limit)
-    edges = graph.symmetric
-    value = 0 if small.isEmpty() else _levels(edges, small, ["root"], True).agg(F.max("depth")).first()[0] or 0
-    return Diameter(value if large.isEmpty() else _bounded(edges, large, value), True)
+    tiny, large = F.col("n") <= min(_TINY, exact_limit), F.col("n") > exact_limit
+    edges, value = graph.symmetric, 0
+    small, middle, big = sized.where(tiny).select(F.col("id").alias("root"), F.col("id").alias("v")), sized.where(~tiny & ~large), sized.where(large)
+    if not small.isEmpty():
+        value = _levels(edges, small, ["root"], True).agg(F.max("depth")).first()[0] or 0
+    if not middle.isEmpty():
+        value = max(value, _within_components(edges, middle))
+    return Diameter(value if big.isEmpty() else _bounded(edges, big, value), True)
 
 
 def diameter(graph: Graph, exact_limit: int = 2500, reference_compatible: bool = False) -> int:

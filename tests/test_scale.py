@@ -88,3 +88,34 @@ def test_squares_move_lists_not_paths(spark):
     graph = Graph().add_edges_from(*map(list, zip(*((a, n + b) for a in range(n) for b in range(n)), strict=True)))
     found, rows = moved(spark, lambda: cohesion.squares(graph))
     assert found == math.comb(n, 2) ** 2 and rows < 25_000
+
+
+def longest_path(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    most = 0
+    for v in near:
+        seen, now, depth = {v}, {v}, 0
+        while now := {b for a in now for b in near[a]} - seen:
+            seen |= now
+            depth += 1
+        most = max(most, depth)
+    return most
+
+
+@pytest.mark.parametrize("limit", [20, 1000])
+def test_diameter_where_bounds_exclude_nothing(spark, monkeypatch, limit):
+    """Nearly all vertices have the same eccentricity; two such components, and one with a tail."""
+    from skein.operators import traversal
+
+    r = random.Random(6)
+    edges = [(first + r.randrange(300), first + r.randrange(300)) for first in (0, 1000) for _ in range(1500)] + [(5, 2000), (2000, 2001)]
+    edges = [(a, b) for a, b in edges if a != b]
+    searches, own = [], traversal._levels
+    monkeypatch.setattr(traversal, "_levels", lambda *a: searches.append(a) or own(*a))
+    monkeypatch.setattr(traversal, "_WORDS", 2)
+    monkeypatch.setattr(traversal, "_GATHERED", 64)
+    assert traversal.diameter_of(Graph().add_edges_from(*map(list, zip(*edges, strict=True))), exact_limit=limit).value == longest_path(edges)
+    assert len(searches) <= 3
