@@ -38,8 +38,8 @@ def read_matrix_market_file(filepath: str, directed: bool = False, only_edges: b
     raw = _session().read.text(filepath)
     places = raw.select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
     lines = places.where((F.col("line") != "") & ~F.col("line").startswith(comment_header))
-    # splits of one file are numbered in its order, so the smallest number is the size line
-    head = lines.agg(F.min_by(F.struct("line", "at"), F.col("at")).alias("h")).first()["h"]
+    # splits of one file are numbered in its order, and parts of one are named in it, so the first is the size line
+    head = lines.agg(F.min_by(F.struct("line", "at"), F.struct("file", "at")).alias("h")).first()["h"]
     if head is None:
         raise ValueError("the file has no size line")
     entries = lines.where(F.col("at") != head["at"]).select(F.split("line", " ").alias("f"))
@@ -148,8 +148,8 @@ def nde_lines(graph: Graph) -> DataFrame:
 
 
 def write_nde(graph: Graph, path: str) -> None:
-    """A node-degree-edge file: the format is one ordered file, so it is written by one task, streaming."""
-    nde_lines(graph).orderBy("part", "a", "b").select("line").coalesce(1).write.mode("errorifexists").text(path)
+    """A node-degree-edge file in ordered parts."""
+    write_lines(nde_lines(graph), path)
 
 
 def write_jaccard(similarities: DataFrame, path: str) -> None:
@@ -197,5 +197,5 @@ def vf3_lines(graph: PropGraph) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One ordered file of (part, a, b, line) rows."""
-    lines.orderBy("part", "a", "b").select("line").coalesce(1).write.mode("errorifexists").text(path)
+    """(part, a, b, line) rows in order, as a folder of files that make one file in the order of their names; each task writes its range."""
+    lines.orderBy("part", "a", "b").select("line").write.mode("errorifexists").text(path)

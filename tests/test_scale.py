@@ -169,3 +169,23 @@ def test_sparse_clusters_take_no_smallest_cut(monkeypatch):
     monkeypatch.setattr(communities, "min_cut", lambda a: sizes.append(len(a)) or own(a))
     parts = communities.split(mutual(edges | dense | {(0, 10_000)}), "log2", None, 3, 3)
     assert [len(p) for p in parts] == [400] and max(sizes, default=0) <= communities._EXACT
+
+
+def test_ordered_file_is_written_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from skein.sources import files
+
+    head = spark.createDataFrame([(0, 0, 0, "%%MatrixMarket matrix coordinate real general"), (1, 0, 0, "3000 3001 3000")], "part int, a long, b long, line string")
+    entries = spark.range(1, 3001, 1, 3).select(F.lit(2).alias("part"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.concat_ws(" ", "id", F.col("id") + 1, F.lit("2.5")).alias("line"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few lines are one part
+    try:
+        files.write_lines(head.unionByName(entries), str(tmp_path / "m"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    parts = sorted(p for p in (tmp_path / "m").iterdir() if p.name.startswith("part-"))
+    lines = [x for p in parts for x in p.read_text().splitlines()]
+    assert len(parts) > 1 and lines == ["%%MatrixMarket matrix coordinate real general", "3000 3001 3000", *(f"{i} {i + 1} 2.5" for i in range(1, 3001))]
+    got = files.read_matrix_market_file(str(tmp_path / "m"), directed=True, only_edges=True)
+    assert sorted(map(tuple, got.collect())) == [(i, i + 1, 2.5) for i in range(1, 3001)]
